@@ -28,6 +28,9 @@ SHARES = (0.8, 0.1, 0.1)
 OTHER = "other"
 LABELS = (*RUNTIMES, OTHER)
 _MAX_ROUNDS = 60
+#: Stretches of the hash within one power of two of group sizes, for running sums.
+_BUCKET_BITS = 12
+_BUCKETS = 1 << _BUCKET_BITS
 
 
 def author_key(c: Column) -> Column:
@@ -82,6 +85,10 @@ def found(training: DataFrame) -> DataFrame:
     return g.where("session != root").select(F.col("root").alias("session_a"), F.col("session").alias("session_b"))
 
 
+def _sums(groups: DataFrame) -> dict[str, int]:
+    return groups.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in LABELS]).first().asDict()
+
+
 def place(groups: DataFrame, shares: tuple[float, ...] = SHARES) -> DataFrame:
     """group, split for groups (group string, one column of counts per label)."""
     spark = groups.sparkSession
@@ -101,38 +108,34 @@ def place(groups: DataFrame, shares: tuple[float, ...] = SHARES) -> DataFrame:
         chosen.append((r["group"], best))
     parts.append(spark.createDataFrame(chosen, "group string, split string"))
     rest = g.where(F.col("size") * HOT_SHARE <= F.lit(totals["size"]))
-    left = {x: rest.agg(F.coalesce(F.sum(x), F.lit(0))).first()[0] for x in LABELS}
-    todo = [x for x in LABELS if left[x]]
+    outstanding = _sums(rest)
+    todo = [x for x in LABELS if outstanding[x]]
     while todo:
-        rare = min(todo, key=lambda x: (left[x], x))
-        todo.remove(rare)
+        rare = min(todo, key=lambda x: (outstanding[x], x))
         here = rest.where(F.col(rare) > 0)
         rest = rest.where(F.col(rare) == 0)
-        # order by descending size, then hash; the bucket follows that order
-        order = here.withColumn("_neg", -F.col("size")).withColumn("_h", F.xxhash64("group")).withColumn("_b", F.floor(F.log2(F.col("size"))) * F.lit(-64) + F.pmod(F.shiftrightunsigned(F.col("_h"), 58), F.lit(64)))
-        order = order.withColumn("_all", F.lit(0))
+        # largest first, then by hash; the bucket follows that order
+        order = here.withColumn("_h", F.xxhash64("group")).withColumn("_all", F.lit(0)).withColumn(
+            "_b", F.floor(F.log2("size")) * F.lit(-_BUCKETS) + F.shiftrightunsigned(F.col("_h"), 64 - _BUCKET_BITS)
+        )
         summed = prefix_sums(order, ["_all"], ["_h", "group"], rare, "_b", "_before")
         want = {s: max(0.0, need[s][rare]) for s in SPLITS}
-        whole = sum(want.values()) or 1.0
-        # a stretch of the running sum for each split, the neediest first, as long as its need; what is too much goes to the neediest
-        expr, at = None, 0.0
-        ranked = sorted(SPLITS, key=lambda s: -want[s])
-        amount = sum(r_ for r_ in [here.agg(F.sum(rare)).first()[0] or 0])
         if not sum(want.values()):
-            want, whole = dict(zip(SPLITS, shares, strict=True)), 1.0
-        for s in ranked[1:]:
-            at += want[s] / whole * amount
-            cond = F.col("_before") + F.col(rare) / 2 < F.lit(at)
-            expr = F.when(cond, F.lit(s)) if expr is None else expr.when(cond, F.lit(s))
-        placed = cut(summed.withColumn("split", expr.otherwise(F.lit(ranked[0]))).select("group", "split", *LABELS))
+            want = dict(zip(SPLITS, shares, strict=True))
+        scale = outstanding[rare] / sum(want.values())
+        # each split takes the stretch of the running sum that it needs; the neediest comes last and takes what is over
+        ranked = sorted(SPLITS, key=lambda s: want[s])
+        split, at = F.lit(ranked[-1]), sum(want[s] for s in ranked[:-1]) * scale
+        for s in reversed(ranked[:-1]):
+            split = F.when(F.col("_before") + F.col(rare) / 2 < F.lit(at), F.lit(s)).otherwise(split)
+            at -= want[s] * scale
+        placed = cut(summed.withColumn("split", split).select("group", "split", *LABELS))
         for r in placed.groupBy("split").agg(*[F.sum(x).alias(x) for x in LABELS]).collect():  # three rows
             for x in LABELS:
                 need[r["split"]][x] -= r[x]
-        left = {x: left[x] - sum(0 for _ in ()) for x in LABELS}
-        outstanding = rest.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in LABELS]).first()
-        left = {x: outstanding[x] for x in LABELS}
-        todo = [x for x in todo if left[x]]
         parts.append(placed.select("group", "split"))
+        outstanding = _sums(rest)
+        todo = [x for x in todo if x != rare and outstanding[x]]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
