@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,6 +84,21 @@ def prefix_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], value
     )
 
 
-def map_rows(df: DataFrame, fn, schema) -> DataFrame:
-    """mapInPandas with a fixed schema; fn takes an iterator of pandas frames."""
-    return df.mapInPandas(fn, schema)
+def ship(spark: SparkSession, model):
+    """Broadcast of a fitted model (of bounded size) with its code; the function that is returned loads it once a worker."""
+    import secrets
+
+    raw = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    name = secrets.token_hex(8)
+
+    def load():
+        import pickle
+        import sys
+
+        kept = sys.__dict__.setdefault("_kept_models", {})
+        if name not in kept:
+            kept.clear()
+            kept[name] = pickle.loads(raw.value)
+        return kept[name]
+
+    return load
