@@ -21,10 +21,12 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.functions.text import fold_case
 from skein.runtime import cut, skew_lookup
 
+_NODE = T.StructType([T.StructField("digest", T.StringType()), T.StructField("form", T.StringType())])
 ACKNOWLEDGED = "contract:no-task-v1"
 _INVISIBLE = r"\p{Cf}"
 _SEPARATORS = r"[^\p{L}\p{N}\p{M}]+"
@@ -65,7 +67,7 @@ def _node(x) -> tuple[str, str]:
     return _sha("L" + form), form
 
 
-@F.pandas_udf("digest string, form string")
+@F.pandas_udf(_NODE)
 def _json_node(texts: pd.Series) -> pd.DataFrame:
     digests, forms = [], []
     for t in texts:
