@@ -41,7 +41,7 @@ def words(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-cased runs of two or more letters, digits or underscores."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{IsAlphabetic}\p{N}_]{2,}"), F.lit(0))
+    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
 
 
 def word_count(c: Column) -> Column:

@@ -39,14 +39,9 @@ class TextClassifier:
     def predict(self, docs: DataFrame) -> DataFrame:
         """doc, predicted, probability of docs (doc, text); documents without known terms get the class of the intercepts."""
         from pyspark.ml.functions import vector_to_array
-        from pyspark.ml.linalg import SparseVector
 
         w = features.weights(features.term_counts(docs), self.idf)
-        vec = features.vectors(w, self.vocabulary)
-        empty = docs.join(vec.select("doc"), "doc", "left_anti").select("doc")
-        zero = SparseVector(self.vocabulary.count(), [], [])
-        one = docs.sparkSession.createDataFrame([(zero,)], vec.select("features").schema)
-        both = vec.unionByName(empty.crossJoin(one)) if empty.take(1) else vec  # one row on the right
+        both = features.vectors(w, self.vocabulary, docs.select("doc").distinct())
         p = vector_to_array("probability")
         label = F.array(*[F.lit(c) for c in self.classes])
         best = F.array_position(p, F.array_max(p))

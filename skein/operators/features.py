@@ -14,11 +14,14 @@ def ngrams(words: Column, most: int = 2) -> Column:
     n = F.size(words)
     parts = [words]
     for k in range(2, most + 1):
-        grams = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i, k=k: F.array_join(F.slice(words, i, k), " "))
-        parts.append(F.when(n >= k, grams).otherwise(F.array().cast("array<string>")))
+        parts.append(F.when(n >= k, _windows(words, n, k)).otherwise(F.array().cast("array<string>")))
     return F.concat(*parts)
 
 
+def _windows(words: Column, n: Column, k: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.array_join(F.slice(words, i, k), " "))
+
+
 def term_counts(docs: DataFrame, most: int = 2) -> DataFrame:
     """doc, term, n of docs (doc, text)."""
     words = docs.select("doc", tokens(F.col("text")).alias("w"))
@@ -52,17 +55,18 @@ def transform(fitted: DataFrame, docs: DataFrame, most: int = 2) -> DataFrame:
     return weights(term_counts(docs, most), inverse_frequency(term_counts(fitted, most), fitted))
 
 
-def vectors(weighted: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """doc, features (sparse vector) by a dense index of the lexicographic vocabulary (term, index)."""
-    from pyspark.ml.functions import array_to_vector  # noqa: F401  (keeps the ML types loaded)
+def vectors(weighted: DataFrame, vocabulary: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """doc, features (sparse vector) by a dense index of the vocabulary (term, index); docs without terms get a zero vector."""
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
     size = vocabulary.count()
     pairs = weighted.join(vocabulary, "term").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(F.col("index").cast("int").alias("i"), F.col("weight").alias("v")))).alias("p"))
+    if docs is not None:
+        pairs = docs.join(pairs, "doc", "left")
 
     @F.udf(VectorUDT())
     def build(p):
-        return SparseVector(size, [x["i"] for x in p], [x["v"] for x in p])
+        return SparseVector(size, [x["i"] for x in p or []], [x["v"] for x in p or []])
 
     return pairs.select("doc", build("p").alias("features"))
 
