@@ -48,6 +48,7 @@ def _reviewer(name: str | None):
 def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
 
     from skein.functions.predicates import decision_ok
     from skein.operators import evaluate, labels, sessions, teacher
@@ -81,8 +82,9 @@ def main(argv: list[str] | None = None) -> int:
             for r in teacher.autolabel(todo, a.values, _reviewer(a.reviewer), aspect=a.aspect).toLocalIterator():
                 print(flows.dumps(r.asDict()))
         elif a.command == "aspect-discover":
-            newest = texts().orderBy(F.desc("session_id")).limit(a.limit).rdd.zipWithIndex().map(lambda x: (x[1], x[0]["text"]))  # a few dozen
-            for r in teacher.discover(spark.createDataFrame(newest, "ord long, text string"), _reviewer(a.reviewer), top=a.max_aspects).collect():
+            newest = texts().orderBy(F.desc("session_id")).limit(a.limit)  # a few dozen
+            excerpts = newest.select((F.row_number().over(Window.orderBy("session_id")) - 1).cast("long").alias("ord"), "text")
+            for r in teacher.discover(excerpts, _reviewer(a.reviewer), top=a.max_aspects).collect():
                 print(flows.dumps(r.asDict()))
         elif a.command == "goal-model":
             ask = _reviewer(a.reviewer)

@@ -22,7 +22,7 @@ def session_texts(events: DataFrame, cap: int = TEXT_CAP, bucket: str | None = N
     e = e.withColumn("_len", F.length("text") + 1)
     e = e.withColumn("_bucket", F.col(bucket) if bucket else F.lit(0))
     placed = prefix_sums(e.select("session_id", "runtime", "ord", "text", "_len", "_bucket"), ["session_id"], ["ord"], "_len", "_bucket", "_at")
-    near = placed.where(F.col("_at") < cap).withColumn("text", F.expr(f"substring(text, 1, {cap})"))
+    near = placed.where(F.col("_at") <= cap).withColumn("text", F.expr(f"substring(text, 1, {cap})"))
     parts = near.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("p"), F.min(F.struct("ord", "runtime"))["runtime"].alias("runtime"))
     return parts.select("session_id", "runtime", F.expr(f"substring(array_join(transform(p, x -> x.text), '\n'), 1, {cap})").alias("text"))
 
