@@ -25,8 +25,11 @@ def normal_form(c: Column) -> Column:
 
 
 def fold_case(c: Column) -> Column:
-    """Case folding that also joins sharp s with ss."""
-    return F.lower(F.upper(c))
+    """Case folding that also joins sharp s with ss.
+
+    The optimizer turns lower(upper(x)) into lower(x); what stands between keeps both.
+    """
+    return F.lower(F.translate(F.upper(c), "\u0001", "\u0001"))
 
 
 def bare_letters(c: Column) -> Column:
