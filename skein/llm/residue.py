@@ -25,6 +25,8 @@ from skein.runtime import skew_lookup
 KINDS = ("placeholder", "filler", "error_page", "script_notice")
 #: A message recurs widely when documents of at least so many sources hold it.
 WIDE_SOURCES = 3
+#: A page's message is no longer than this; longer ones are content unless their words are filler.
+LONGEST = 600
 #: Share of a text's characters that messages of one kind must make up.
 MOST = 0.6
 
@@ -55,7 +57,7 @@ _STRONG = {
         r"|\bno se encontró\b|\bacceso denegado\b|\bse produjo un error\b|\ben mantenimiento\b|\btardó demasiado\b|\bdemasiadas solicitudes\b|\bno disponible\b"
     ),
     "script_notice": (
-        r"(?i)(?=.*\b(?:java ?script|scripts?|scripting|skrypt\w*|skripte?\w*|client-side code|cookies|ciasteczk\w*|human|przeglądark\w*|browser\w*|navegador)\b)"
+        r"(?i)^(?=.*\b(?:java ?script|scripts?|scripting|skrypt\w*|skripte?\w*|client-side code|cookies|ciasteczk\w*|human|przeglądark\w*|browser\w*|navegador)\b)"
         r".*(?:\benable\b|\bdisabled\b|\bturn(?:ed)? (?:\w+ )?o(?:n|ff)\b|\bswitch(?:ed)? o(?:n|ff)\b|\brequires?\b|\bneeds?\b|\ballow\b|\bdoes not work\b|\bnot supported\b|\bwithout (?:java ?)?script\w*\b.*\bnot\b|\bverifying\b|\bchecking your browser\b"
         r"|\bwłącz\b|\bwymaga\b|\bblokuje\b|\bzezwól\b|\bpotrzebn\w+\b|\bsprawdzamy\b|\baktivier\w*|\bbenötigt\b|\bblockiert\b|\bzulassen\b|\bohne java ?script\b.*\bnicht\b|\bprüfen\b|\bactiv(?:e|ar)\b|\bnecesita\b|\bbloquea\b|\bpermita\b|\bno funciona\b|\bcomprobando\b)"
     ),
@@ -114,14 +116,15 @@ def classify(message: Column) -> Column:
     mash = F.size(F.filter(w, lambda x: x.rlike(f"^{_MASH}$")))
     home = F.size(F.filter(w, lambda x: x.rlike(_HOME_ROW)))
     n = F.size(w)
-    code = message.rlike(_NAMES_CODE) & ~message.rlike(r"(?i)javascript") | message.rlike(r"\b[\w.-]+/[\w.-]+\.[a-z]{1,5}\b|\b\w+_\w+\b")
-    json_error = message.rlike(r'(?i)^\s*\{\s*"?(?:error|errors|message|status)')
-    filler = ((n >= 4) & (latin * 10 >= n * 7)) | ((n >= 3) & (mash * 10 >= n * 8)) | ((n >= 6) & (home * 10 >= n * 9)) | message.rlike(_OUTLINE) | message.rlike(_STRONG["filler"])
+    page = F.when(F.length(message) <= LONGEST, message).otherwise(F.lit(""))
+    code = page.rlike(_NAMES_CODE) & ~page.rlike(r"(?i)javascript") | page.rlike(r"\b[\w.-]+/[\w.-]+\.[a-z]{1,5}\b|\b\w+_\w+\b")
+    json_error = page.rlike(r'(?i)^\s*\{\s*"?(?:error|errors|message|status)')
+    filler = ((n >= 4) & (latin * 10 >= n * 7)) | ((n >= 3) & (mash * 10 >= n * 8)) | ((n >= 6) & (home * 10 >= n * 9)) | page.rlike(_OUTLINE) | message.rlike(_STRONG["filler"])
     kind = (
         F.when(json_error, F.lit("error_page")).when(code | message.contains("§"), F.lit(None))
-        .when(filler, F.lit("filler")).when(message.rlike(_STRONG["script_notice"]), F.lit("script_notice")).when(message.rlike(_STRONG["error_page"]), F.lit("error_page"))
+        .when(filler, F.lit("filler")).when(page.rlike(_STRONG["script_notice"]), F.lit("script_notice")).when(page.rlike(_STRONG["error_page"]), F.lit("error_page"))
     )
-    weak = F.when(code | message.contains("§"), F.lit(None)).when(message.rlike(_WEAK["error_page"]), F.lit("error_page")).when(message.rlike(_WEAK["script_notice"]), F.lit("script_notice"))
+    weak = F.when(code | message.contains("§"), F.lit(None)).when(page.rlike(_WEAK["error_page"]), F.lit("error_page")).when(page.rlike(_WEAK["script_notice"]), F.lit("script_notice"))
     return F.struct(F.coalesce(kind, weak).alias("kind"), (kind.isNull() & weak.isNotNull()).alias("weak"))
 
 
@@ -136,7 +139,7 @@ def slots(text: Column) -> tuple[Column, Column]:
 def _parsed(documents: DataFrame) -> DataFrame:
     d = documents.where("doc_id is not null and text is not null").select("doc_id", "source", "text")
     strong, every = slots(F.col("text"))
-    unit = lambda u: F.struct(u.alias("m"), F.length(u).alias("len"), u.rlike(_BOILER).alias("boiler"), classify(u).alias("c"))
+    unit = lambda u: F.struct(u.alias("m"), F.length(u).alias("len"), (F.when(F.length(u) <= LONGEST, u).otherwise(F.lit("§ §")).rlike(_BOILER)).alias("boiler"), classify(u).alias("c"))
     return d.select("doc_id", "source", strong.alias("strong_slots"), every.alias("slots"), F.transform(messages(F.col("text")), unit).alias("units"))
 
 
