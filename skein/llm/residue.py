@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.runtime import skew_lookup
+from skein.runtime import cut, skew_lookup
 
 KINDS = ("placeholder", "filler", "error_page", "script_notice")
 #: A message recurs widely when documents of at least so many sources hold it.
@@ -143,25 +143,31 @@ def _parsed(documents: DataFrame) -> DataFrame:
     return d.select("doc_id", "source", strong.alias("strong_slots"), every.alias("slots"), F.transform(messages(F.col("text")), unit).alias("units"))
 
 
-def _flagged(parsed: DataFrame) -> DataFrame:
-    """One row per classified message: doc_id, source, kind, weak, len, key, and the document's length of content."""
+def _scanned(documents: DataFrame) -> DataFrame:
+    """One pass over all texts: doc_id, source, filled, total, hits of the documents with slots or classified messages."""
     total = F.aggregate("units", F.lit(0), lambda a, u: a + F.when(u["boiler"] & u["c"]["kind"].isNull(), F.lit(0)).otherwise(u["len"]))
     hit = F.filter("units", lambda u: u["c"]["kind"].isNotNull())
-    u = parsed.select("doc_id", "source", total.alias("total"), F.explode(hit).alias("u"))
-    return u.select("doc_id", "source", "total", F.col("u.c.kind").alias("kind"), F.col("u.c.weak").alias("weak"), F.col("u.len").alias("len"), F.sha2(masked(F.col("u.m")), 256).alias("key"), masked(F.col("u.m")).alias("message"))
+    p = _parsed(documents).select("doc_id", "source", ((F.col("strong_slots") >= 1) | (F.col("slots") >= 2)).alias("filled"), total.alias("total"), hit.alias("hits"))
+    slim = F.transform("hits", lambda u: F.struct(u["c"]["kind"].alias("kind"), u["c"]["weak"].alias("weak"), u["len"].alias("len"), masked(u["m"]).alias("message")))
+    return cut(p.where(F.col("filled") | (F.size("hits") > 0)).select("doc_id", "source", "filled", "total", slim.alias("hits")))
+
+
+def _flagged(scanned: DataFrame) -> DataFrame:
+    """One row per classified message: doc_id, source, kind, weak, len, key, message, and the document's length of content."""
+    return scanned.select("doc_id", "source", "total", F.explode("hits").alias("u")).select("doc_id", "source", "total", "u.kind", "u.weak", "u.len", F.sha2("u.message", 256).alias("key"), "u.message")
 
 
 def recurring(documents: DataFrame) -> DataFrame:
     """key, kind, docs, sources of each classified message: exact hashes of masked messages grouped over all documents."""
-    f = _flagged(_parsed(documents))
+    f = _flagged(_scanned(documents))
     per = f.groupBy("key", "kind", "source", "doc_id").agg(F.max("message").alias("message"))
     by_source = per.groupBy("key", "kind", "source").agg(F.count(F.lit(1)).alias("docs"), F.max("message").alias("message"))
     return by_source.groupBy("key", "kind").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("sources"), F.max("message").alias("message"))
 
 
 def found(documents: DataFrame) -> DataFrame:
-    parsed = _parsed(documents)
-    f = _flagged(parsed).drop("message")
+    scanned = _scanned(documents)
+    f = _flagged(scanned).drop("message")
     held = f.where("weak").groupBy("key", F.coalesce("source", F.lit("")).alias("s")).agg(F.lit(1).alias("one"))
     wide = held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= WIDE_SOURCES).select("key", F.lit(True).alias("wide"))
     weak = skew_lookup(f.where("weak"), wide, "key")
@@ -174,7 +180,7 @@ def found(documents: DataFrame) -> DataFrame:
     )
     most = F.when(F.col("best.sure") > 0, F.col("all") >= F.col("total") * MOST).otherwise(F.col("wide") >= F.col("total"))
     pages = whole.where(most).select("doc_id", F.col("best.kind").alias("kind"))
-    filled = parsed.where("strong_slots >= 1 or slots >= 2").select("doc_id", F.lit("placeholder").alias("kind"))
+    filled = scanned.where("filled").select("doc_id", F.lit("placeholder").alias("kind"))
     both = filled.unionByName(pages)
     return both.groupBy("doc_id").agg(F.max(F.when(F.col("kind") == "placeholder", F.col("kind"))).alias("p"), F.max("kind").alias("k")).select("doc_id", F.coalesce("p", "k").alias("kind"))
 
