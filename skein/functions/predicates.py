@@ -160,3 +160,25 @@ def decision_ok(d: Column, refs: Column | None = None) -> Column:
     if refs is not None:
         ok = ok & F.array_contains(F.concat(refs, F.array(F.lit("NEW_GOAL"))), r)
     return F.coalesce(ok, F.lit(False))
+
+
+# --- fixed values ---
+POLISH_WORDS = (
+    "aplikacje", "aplikacji", "czemu", "czy", "dlaczego", "gdzie", "jakie", "ktore", "ktory", "mamy", "moj", "nasz", "naszego", "naszych", "przed", "prosze", "sie", "sprawdz", "zamknelo", "znalezc", "zrestartowalo",
+)
+POLISH_SIGNS = "[ąćęłńóśźż]"
+IDENTIFIER = r"\b[A-Z][A-Z0-9.+-]{1,}\b"
+# --- end of fixed values ---
+
+
+def is_polish(c: Column) -> Column:
+    """Two or more of the words, repeats counted, or a letter that only Polish has."""
+    low = F.lower(c)
+    w = F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0))
+    return (F.size(F.filter(w, lambda x: x.isin(*POLISH_WORDS))) >= 2) | low.rlike(POLISH_SIGNS)
+
+
+def lost_identifiers(message: Column, answer: Column) -> Column:
+    """Identifiers in capitals that a message holds and its answer doesn't, in order."""
+    every = F.array_distinct(F.regexp_extract_all(message, F.lit(IDENTIFIER), F.lit(0)))
+    return F.array_sort(F.filter(every, lambda x: ~F.contains(answer, x)))

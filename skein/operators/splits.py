@@ -59,3 +59,24 @@ def oversample(df: DataFrame, bucket: str, floors: dict[str, int], ident: str) -
 def batches(df: DataFrame, size: int, order: list[str]) -> DataFrame:
     """Adds batch: consecutive groups of `size` rows in the given order (for reviewer files, which are small by design)."""
     return df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size))
+
+
+def round_robin(sources: DataFrame, families: dict[str, list[str]], per_family: int, seed: int, ident: str) -> DataFrame:
+    """number, family, template and the source each generated row is made from: sources in shuffled order, in turn.
+
+    Only as many sources as there are rows to generate can be used, so no more are ranked.
+    """
+    names = list(families)
+    total = per_family * len(names)
+    key = shuffle_key(seed, F.col(ident))
+    few = sources.withColumn("_k", key).orderBy("_k", ident).limit(total).drop("_k")
+    ordered = few.withColumn("_place", F.row_number().over(Window.orderBy(shuffle_key(seed, F.col(ident)), ident)) - 1)
+    n = few.agg(F.count(F.lit(1)).alias("_n"))
+    spark = sources.sparkSession
+    slots = spark.range(total).select(F.col("id").alias("number")).join(F.broadcast(n), F.lit(True)).where("_n > 0").withColumn("_place", (F.col("number") % F.col("_n")).cast("int"))
+    family = F.element_at(F.array(*[F.lit(x) for x in names]), (F.floor(F.col("number") / per_family) + 1).cast("int"))
+    index = F.col("number") % per_family
+    template = F.lit(None).cast("string")
+    for name, texts in families.items():
+        template = F.when(family == name, F.element_at(F.array(*[F.lit(t) for t in texts]), (index % len(texts) + 1).cast("int"))).otherwise(template)
+    return slots.withColumn("family", family).withColumn("template", template).join(ordered, "_place").drop("_place", "_n")

@@ -711,3 +711,57 @@ def lr_holdout_predictions(spark, d):
     model = classify.TextClassifier.fit(docs.where("side = 'train'").drop("side"), max_iter=20)
     held = docs.where("side = 'holdout'")
     return model.predict(held.select("doc", "text")).join(held.select("doc", "label"), "doc").select(F.col("doc").alias("session_id"), "label", "predicted", F.round("probability", 4).alias("probability"))
+
+
+@query()
+def cv_accuracy(spark, d):
+    """Mean accuracy over two stratified folds of the aspect's usable sessions."""
+    docs = _usable(spark, d).select(F.col("session_id").alias("doc"), "text", F.col("value").alias("label"))
+    return spark.createDataFrame([(round(classify.cross_validate(cut(docs), SEED, most=2, max_iter=10), 4),)], "accuracy double")
+
+
+# --- curriculum, prompts, reports ---------------------------------------------------------------------------------------
+_POLISH = f"(len(list_filter(regexp_extract_all(lower({{c}}), '\\p{{{{L}}}}+'), lambda x: x in ({', '.join(repr(w) for w in pred.POLISH_WORDS)}))) >= 2 or regexp_matches(lower({{c}}), '{pred.POLISH_SIGNS}'))"
+
+
+@query(f"""select pred_id, {_POLISH.format(c='message')} and not {_POLISH.format(c='student')} other_language,
+    array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(message, '{pred.IDENTIFIER}')), lambda x: not contains(student, x))), ', ') lost from predictions where message is not null and student is not null""")
+def language_violations(spark, d):
+    m, s = F.col("message"), F.col("student")
+    return read_table(spark, d, "predictions").where("message is not null and student is not null").select("pred_id", (pred.is_polish(m) & ~pred.is_polish(s)).alias("other_language"), F.array_join(pred.lost_identifiers(m, s), ", ").alias("lost"))
+
+
+_FAMILIES = {"completion": ["{title} is done now", "that finishes {title}"], "switch": ["leave it, start with {title}"], "status": ["how far is {title}", "what about {title}", "still on {title}?"]}
+_FAMILY_SQL = "case number // 40 when 0 then 'completion' when 1 then 'switch' else 'status' end"
+_TEMPLATE_SQL = "case number // 40 when 0 then ['{title} is done now', 'that finishes {title}'][number % 40 % 2 + 1] when 1 then 'leave it, start with {title}' else ['how far is {title}', 'what about {title}', 'still on {title}?'][number % 40 % 3 + 1] end"
+
+
+@query(f"""with s as (select id, title, row_number() over (order by sha256('{SEED}:' || id), id) - 1 place from (select id, json_extract_string(env, '$.candidates[0].title') title from {_DEC}) where title is not null), n as (select least(count(*), 120) n from s)
+    select number, {_FAMILY_SQL} family, id, replace({_TEMPLATE_SQL}, '{{title}}', title) "text" from (select unnest(range(120)) number) join n on true join s on place = number % n""")
+def round_robin(spark, d):
+    t = tables.decisions(spark, d).select("id", F.get("envelope.candidates", F.lit(0))["title"].alias("title")).where("title is not null")
+    return splits.round_robin(t, _FAMILIES, 40, SEED, "id").select("number", "family", "id", F.replace("template", F.lit("{title}"), F.col("title")).alias("text"))
+
+
+@query("select pred_id, 'Message: ' || message || chr(10) || 'Label: ' || goal || chr(10) || 'Student: ' || student prompt from predictions where message is not null and goal is not null and student is not null")
+def audit_prompts(spark, d):
+    from skein.operators.teacher import audit_prompt
+
+    p = read_table(spark, d, "predictions").where("message is not null and goal is not null and student is not null")
+    return p.select("pred_id", audit_prompt(F.col("message"), F.col("goal"), F.col("student")).alias("prompt"))
+
+
+@query(f"select a.id, p.action, p.p_action, p.goal_ref, p.p_ref from {_AUDIT} a join {_PAIR} p using (id) where a.verdict = 'wrong'")
+def rejected_report(spark, d):
+    wrong = _audit(spark, d).where("verdict = 'wrong'").select("id")
+    return wrong.join(_pairs(spark, d), "id").select("id", F.col("target.action").alias("action"), F.col("prediction.action").alias("p_action"), F.col("target.goal_ref").alias("goal_ref"), F.col("prediction.goal_ref").alias("p_ref"))
+
+
+@query(f"select doc_id, regexp_replace({_trim('text')}, '(?s)^```[a-zA-Z]*\\s*|\\s*```$', '', 'g') body from documents where text is not null")
+def fence_strip(spark, d):
+    return read_table(spark, d, "documents").where("text is not null").select("doc_id", pred.strip_fence(F.col("text")).alias("body"))
+
+
+@query("select messages[2].role \"role\", count(*) n from (select messages from training_rows) group by all")
+def second_message_roles(spark, d):
+    return read_table(spark, d, "training_rows").groupBy(F.get("messages", F.lit(1))["role"].alias("role")).agg(F.count(F.lit(1)).alias("n"))
