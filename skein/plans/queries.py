@@ -234,7 +234,7 @@ _COUNTS = "(select doc, term, count(*) n from (select doc, unnest(list_concat(w,
 _TF = _COUNTS.format(tok=_TOK, docs=_DOCS)
 
 
-@query(f"select doc_id, len({_TOK}) n_tokens, len(list_distinct({_TOK})) n_distinct, md5(array_to_string({_TOK}, ' ')) digest from documents where text is not null")
+@query(f"select doc_id, len({_TOK})::int n_tokens, len(list_distinct({_TOK}))::int n_distinct, md5(array_to_string({_TOK}, ' ')) digest from documents where text is not null")
 def tokens_per_doc(spark, d):
     w = tokens(F.col("text"))
     t = read_table(spark, d, "documents").where("text is not null").select("doc_id", w.alias("w"))
@@ -594,7 +594,7 @@ def parse_goal(spark, d):
 _ANCHORS = r"list_distinct(regexp_extract_all(translate({c}, 'ºª', 'oa'), 'https?://\S+|\b[\w.+-]+@[\w.-]+\.[A-Za-z]{{2,}}\b|\b\d[\d.,:/%-]*\b'))"
 
 
-@query(f"select goal_id, len({_ANCHORS.format(c='message')}) n_anchors, array_to_string(list_sort({_ANCHORS.format(c='message')}), ' ') anchors from goal_rows where message is not null")
+@query(f"select goal_id, len({_ANCHORS.format(c='message')})::int n_anchors, array_to_string(list_sort({_ANCHORS.format(c='message')}), ' ') anchors from goal_rows where message is not null")
 def anchors_per_message(spark, d):
     a = pred.anchors(F.col("message"))
     return read_table(spark, d, "goal_rows").where("message is not null").select("goal_id", F.size(a).alias("n_anchors"), F.array_join(F.array_sort(a), " ").alias("anchors"))
@@ -647,7 +647,7 @@ def json_object_extract(spark, d):
     return read_table(spark, d, "documents").where("text is not null").select("doc_id", pred.first_json_object(F.col("text")).alias("obj"))
 
 
-@query(f"""select goal_id, case when {_trim('message')} = '' then 0 else len(string_split({_collapse('message')}, ' ')) end word_count, (case when {_trim('message')} = '' then 0 else len(string_split({_collapse('message')}, ' ')) end) <= 12 is_short_prompt, contains(message, '?') is_question,
+@query(f"""select goal_id, (case when {_trim('message')} = '' then 0 else len(string_split({_collapse('message')}, ' ')) end)::int word_count, (case when {_trim('message')} = '' then 0 else len(string_split({_collapse('message')}, ' ')) end) <= 12 is_short_prompt, contains(message, '?') is_question,
     {_has('lower(message)', ("status", "progress", "what happened"))} has_status, {_has('lower(message)', ("wrong", "instead", "do not", "don't"))} has_correction, {_has('lower(message)', ("done", "finished", "thanks", "thank you"))} has_completion from goal_rows where message is not null""")
 def message_features(spark, d):
     return read_table(spark, d, "goal_rows").where("message is not null").select("goal_id", *pred.message_features(F.col("message")))
@@ -690,13 +690,13 @@ def event_json(spark, d):
     return read_table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query(f"""select doc_id, sha256({_normal('text')}) digest, len(regexp_extract_all({_normal('text')}, '\\S+')) n_words from documents where text is not null""")
+@query(f"""select doc_id, sha256({_normal('text')}) digest, len(regexp_extract_all({_normal('text')}, '\\S+'))::int n_words from documents where text is not null""")
 def normal_digest(spark, d):
     n = normal_form(F.col("text"))
     return read_table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2(n, 256).alias("digest"), F.when(n == "", F.lit(0)).otherwise(F.size(F.split(n, " "))).alias("n_words"))
 
 
-@query("select sum(trust * n) weighted, sum(n) n from (select lower(trim(split_part(source, ':', 1))) k, count(*) n from session_labels group by 1) join source_trust on k = source_kind")
+@query("select sum(trust * n)::bigint weighted, sum(n)::bigint n from (select lower(trim(split_part(source, ':', 1))) k, count(*) n from session_labels group by 1) join source_trust on k = source_kind")
 def trust_totals(spark, d):
     l = read_table(spark, d, "session_labels").groupBy(F.lower(F.trim(F.substring_index("source", ":", 1))).alias("source_kind")).agg(F.count(F.lit(1)).alias("n"))
     return l.join(read_table(spark, d, "source_trust"), "source_kind").agg(F.sum(F.col("trust") * F.col("n")).alias("weighted"), F.sum("n").alias("n"))
