@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.numbers import share
+from skein.functions.numbers import share, trigrams
 
 
 def holdout_report(preds: DataFrame) -> DataFrame:
@@ -83,6 +83,16 @@ def percentiles(df: DataFrame, group: str, value: str, cuts: dict[str, int]) ->
     return run.groupBy(group).agg(F.max("_n").alias("n"), *[pick(q).alias(k) for k, q in cuts.items()], F.max(value).alias("max"))
 
 
+def chrf_scores(pairs: DataFrame, ident: str, reference: str, candidate: str) -> DataFrame:
+    """ident, chrf: F1 of the character triples of two texts as multisets, counted by a combining aggregate."""
+    a, b = trigrams(F.col(reference)), trigrams(F.col(candidate))
+    side = lambda g, k: F.transform(g, lambda x: F.struct(x.alias("g"), F.lit(k).alias("s")))
+    p = pairs.where(F.col(reference).isNotNull() & F.col(candidate).isNotNull()).select(ident, F.explode(F.concat(side(a, 1), side(b, 2))).alias("x"))
+    per = p.groupBy(ident, F.col("x.g").alias("g")).agg(F.count_if(F.col("x.s") == 1).alias("na"), F.count_if(F.col("x.s") == 2).alias("nb"))
+    total = per.groupBy(ident).agg(F.sum(F.least("na", "nb")).alias("both"), F.sum("na").alias("a"), F.sum("nb").alias("b"))
+    return total.select(ident, (2 * F.col("both") / (F.col("a") + F.col("b"))).alias("chrf"))
+
+
 def gates(values: dict[str, float], rules: dict[str, tuple[str, float]]) -> list[str]:
     """Names of the rules (name: operator, limit) that the values break."""
     tests = {">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, "==": lambda a, b: a == b}

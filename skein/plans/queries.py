@@ -614,8 +614,7 @@ _GRAMS = "(case when length({c}) < 3 then [{c}] else list_transform(range(1, len
     m as (select pred_id, sum(least(na, nb)) common from (select pred_id, g, count(*) filter (s = 1) na, count(*) filter (s = 2) nb from x group by all) group by all)
     select pred_id, round(case when common > 0 then 2 * (common / len(b)::double) * (common / len(a)::double) / (common / len(b)::double + common / len(a)::double) else 0 end, 6) chrf from p join m using (pred_id)""")
 def trigram_chrf(spark, d):
-    p = read_table(spark, d, "predictions").where("goal is not null and student is not null")
-    return p.select("pred_id", F.round(num.chrf(F.col("goal"), F.col("student")), 6).alias("chrf"))
+    return evaluate.chrf_scores(read_table(spark, d, "predictions"), "pred_id", "goal", "student").withColumn("chrf", F.round("chrf", 6))
 
 
 @query()
