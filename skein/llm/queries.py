@@ -56,7 +56,7 @@ def queries() -> dict[str, Query]:
         "p6_found": _t("goal_rows")(merkle.found),
         "p6_collapsed": _t("goal_rows")(merkle.collapsed),
         "p7_found": _t("frozen_splits", "session_labels")(stable_sample.broken_records),
-        "p7_sample": _t("session_labels", "frozen_splits")(lambda labels, frozen: stable_sample.sample(labels, stable_sample.latest_specs(frozen))),
+        "p7_sample": _t("session_labels", "frozen_splits")(lambda labels, frozen: stable_sample.sample(labels, stable_sample.job_specs(frozen))),
         "p8_ids": _t("documents")(bpe.corpus_ids),
         "p9_mix": _t("documents", "mix_targets")(_mix),
         "p9_shares": _t("documents", "mix_targets")(lambda d, t: mixing.shares(_mix(d, t), t)),

@@ -24,6 +24,7 @@ HALF_BITS = 28
 MASK = (1 << HALF_BITS) - 1
 DOMAIN = 1 << (2 * HALF_BITS)
 ROUNDS = 6
+SALTS = 64
 
 
 def domain_id(bare: Column) -> Column:
@@ -63,22 +64,20 @@ def selected(x: Column, seed: Column, fraction: Column) -> Column:
     return F.coalesce(permute(x, seed) < (fraction * F.lit(float(DOMAIN))), F.lit(False))
 
 
-def latest_specs(frozen: DataFrame) -> DataFrame:
-    """Seed and fraction of the newest record of each aspect; a job is named after its aspect with numbers behind a dash."""
-    made = F.coalesce(instant_micros(F.col("created_at")), F.lit(-(2**62)))
-    return (
-        frozen.select(F.regexp_extract("job", r"^(.*?)(?:-\d+)*$", 1).alias("aspect"), "seed", "fraction", made.alias("_t"), "frozen_id", "job")
-        .groupBy("aspect")
-        .agg(F.max(F.struct("_t", "frozen_id", "job", "seed", "fraction")).alias("s"))
-        .select("aspect", "s.job", "s.seed", "s.fraction")
-    )
+def job_specs(frozen: DataFrame) -> DataFrame:
+    """Each job with each seed and fraction its records name; a job is named after its aspect with numbers behind a dash."""
+    return frozen.select(F.regexp_extract("job", r"^(.*?)(?:-\d+)*$", 1).alias("aspect"), "job", "seed", "fraction").distinct()
 
 
 def sample(labels: DataFrame, specs: DataFrame) -> DataFrame:
-    """aspect, job, session_id of the sample: labelled sessions of each aspect under its seed and fraction."""
+    """aspect, job, seed, fraction, session_id: the labelled sessions of its aspect that each spec selects.
+
+    An aspect can hold a large share of the sessions, so they meet the specs in SALTS parts of each aspect.
+    """
     have = labels.select("aspect", domain_id(bare_session_id(F.col("session_id"))).alias("x")).where("x is not null").distinct()
-    got = have.join(specs, "aspect").where(selected(F.col("x"), F.col("seed"), F.col("fraction")))
-    return got.select("aspect", "job", hex_id(F.col("x")).alias("session_id"))
+    spread = specs.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    got = have.withColumn("_part", F.pmod("x", F.lit(SALTS)).cast("int")).join(spread, ["aspect", "_part"]).where(selected(F.col("x"), F.col("seed"), F.col("fraction")))
+    return got.select("aspect", "job", "seed", "fraction", hex_id(F.col("x")).alias("session_id"))
 
 
 def previous_records(frozen: DataFrame) -> DataFrame:

@@ -74,6 +74,18 @@ def test_sample_grows_only(spark):
     assert stable_sample.sample(df.limit(0), spec).count() == 0
 
 
+def test_each_job_of_an_aspect_has_its_sample(spark):
+    ids = [f"{random.Random(i).getrandbits(56):014x}" for i in range(400)]
+    df = spark.createDataFrame([label(i, s=s) for i, s in enumerate(ids)], LABEL)
+    old = frozen(spark, [(1, "topic-000-0001", 0.2, 5, "2026-01-01", [], 0, 0, ""), (2, "topic-000-0001", 0.2, 6, "2026-02-01", [], 0, 0, ""), (3, "topic-000-0001", 0.2, 5, "2026-03-01", [], 0, 0, "")])
+    new = old.unionByName(frozen(spark, [(4, "topic-000-0002", 0.3, 9, "2026-04-01", [], 0, 0, "")]))
+    before, after = (rows(stable_sample.sample(df, stable_sample.job_specs(f))) for f in (old, new))
+    assert {r[:4] for r in after} == {("topic", "topic-000-0001", 5, 0.2), ("topic", "topic-000-0001", 6, 0.2), ("topic", "topic-000-0002", 9, 0.3)}
+    x = spark.createDataFrame([(int(i, 16), i) for i in ids], "x long, i string")
+    want = {("topic", j, s, f, r["i"]) for j, s, f in (("topic-000-0001", 5, 0.2), ("topic-000-0001", 6, 0.2), ("topic-000-0002", 9, 0.3)) for r in x.where(stable_sample.selected(F.col("x"), F.lit(s).cast("long"), F.lit(f))).collect()}
+    assert before < after == want
+
+
 def test_broken_records(spark):
     a, b, c, d = (f"{i:014x}" for i in range(1, 5))
     f = frozen(spark, [
