@@ -1,16 +1,15 @@
 """Same or near-same records across splits.
 
-Two texts overlap when they share at least SHARE of all their distinct words. Aho-Corasick automata over the normalised
-passages of a shard of evaluation texts scan the training texts that can hold one of them; matched intervals are merged
-into the coverage of each evaluation text, and the share of words is checked exactly.
-
-Scanning every shard with every training text would grow with the square of the data, so passages also serve as keys
-that bring a training text to the shards it concerns: windows of SHORT words and rare-looking words that at most
-COMMON texts hold, and windows of LONG words and whole word sets however many hold them; windows are picked by their
-hash, the same on both sides. Keys are computed once per text, copies within a task give them once, and a bitmap of
-fixed size (BITS) drops training keys that no evaluation text has; when the data outgrow it, it only drops less. While
-keys meet, a parity sketch prunes: bit j tells whether an odd number of a text's words fall on j, so the bits in which
-two texts differ are never more than the words they don't share; this can't lose a pair.
+Two texts overlap when they share at least SHARE of all their distinct words. Pairs come from an exact prefix filter, a
+join on hashed words: with all words in one order, rare ones first, two texts that overlap share a word among the first
+few of each (prefix_keys). Every such word is a key whatever the length of the text and however many texts hold it; keys
+with very many pairs are joined in blocks. The share of words is then checked exactly. Aho-Corasick automata play no part in
+finding pairs: they only report, for pairs that passed, how much of the evaluation text its passages cover.
+
+A bitmap of fixed size (BITS) drops training keys that no evaluation text has; when the data outgrow it, it only drops
+less. Copies within a task give keys once. While keys meet, a parity sketch prunes: bit j tells whether an odd number of
+a text's words fall on j, so the bits in which two texts differ are never more than the words they don't share; this
+can't lose a pair.
 
 Defined cases: texts without words overlap nothing; rows without a known day, acknowledgements and null ids are left
 out; null gold counts as not gold; repeated ids give one pair; a pair's smaller id comes first; the text is the field
@@ -34,13 +33,12 @@ from skein.llm.merkle import ACKNOWLEDGED
 from skein.runtime import cut, ship, skew_lookup
 
 SHARE = 0.7
-SHORT, LONG = 4, 12
-#: One of so many windows is a key.
-EVERY_SHORT, EVERY_LONG = 3, 6
-#: Words that contain two digits or have at least so many letters are keys.
-RARE_LENGTH = 12
-#: Short keys that more texts hold are left to the long windows, which have no such bound.
-COMMON = 256
+#: Sizes of texts fall into classes; each class begins at so many times the one before.
+CLASS_STEP = 1.15
+#: Words are counted in 2**COUNT_BITS places and in one of COUNT_EVERY texts, for the order of words only.
+COUNT_BITS, COUNT_EVERY = 18, 8
+#: A key that brings together more pairs than the square of this is joined in blocks of about so many rows a side.
+BLOCK = 4096
 #: Passages of the automata, in words.
 PASSAGE = 3
 #: The bitmaps have 2**BITS bits (2 MB).
@@ -75,23 +73,24 @@ def words_of(text: str) -> list[str]:
 
 
 def _word_hash(w: str) -> int:
-    """64-bit hash whose lowest bit tells whether the word looks rare."""
     import xxhash
 
-    rare = len(w) >= RARE_LENGTH or sum(c.isdigit() for c in w) > 1
-    return (xxhash.xxh64_intdigest(w) & ~1) | rare
+    return xxhash.xxh64_intdigest(w)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+def _classes() -> np.ndarray:
+    out = [1]
+    while out[-1] < 2**40:
+        out.append(max(out[-1] + 1, int(out[-1] * CLASS_STEP)))
+    return np.array(out, np.int64)
 
 
-def signatures(texts: list[str], known: dict[str, int], held: np.ndarray | None, met: set[tuple[int, int]]) -> dict[str, np.ndarray | list]:
-    """For each text with words: its place, r1, r2 (hashes of its word sequence), n (distinct words), two sketches, keys.
+#: Smallest size of each class.
+CLASSES = _classes()
 
-    The lowest bit of a key tells a long one. Keys that the bitmap doesn't hold are dropped; texts met before have none.
-    """
+
+def _flat(texts: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in a row, and the number of words of each text."""
     flat: list[int] = []
     sizes = np.zeros(len(texts), np.int64)
     get = known.get
@@ -105,10 +104,53 @@ def signatures(texts: list[str], known: dict[str, int], held: np.ndarray | None,
                     known.clear()
                 known[x] = h = _word_hash(x)
             flat.append(h)
+    return np.array(flat, np.uint64), sizes
+
+
+def _place(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def prefix_keys(h: np.ndarray, doc: np.ndarray, n: np.ndarray, counts: np.ndarray, train: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, key): keys of the distinct words h of the texts doc, which have n words; none that a pair needs is left out.
+
+    Two texts of n and m words that overlap share at least SHARE / (1 + SHARE) x (n + m) words, so in any common order of
+    words one of the first n - that + 1 words of the one is among the first m - that + 1 of the other. A key is a word
+    with the size classes of both sides, so that a text has for each class it can overlap as few words as that allows.
+    """
+    o = np.lexsort((h, counts[_place(h)], doc))
+    h, doc = h[o], doc[o]
+    rank = np.arange(len(h)) - np.concatenate([[0], np.cumsum(n)[:-1]])[doc]
+    own = np.searchsorted(CLASSES, n, side="right") - 1
+    least, most = np.ceil(n * SHARE - 1e-9).astype(np.int64), np.floor(n / SHARE + 1e-9).astype(np.int64)
+    low, high = (np.searchsorted(CLASSES, x, side="right") - 1 for x in (least, most))
+    where, keys = [], []
+    for d in range(int((low - own).min()), int((high - own).max()) + 1):
+        other = own + d
+        m = np.maximum(CLASSES[np.maximum(other, 0)], least)
+        first = np.where((other >= low) & (other <= high), n - np.ceil((n + m) * (SHARE / (1 + SHARE)) - 1e-9).astype(np.int64) + 1, 0)
+        use = rank < first[doc]
+        e, t = (other, own) if train else (own, other)
+        with np.errstate(over="ignore"):
+            keys.append(_mix(h[use] + (e * 1024 + t + 1)[doc[use]].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        where.append(doc[use])
+    return np.concatenate(where), np.concatenate(keys)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def signatures(texts: list[str], known: dict[str, int], held: np.ndarray | None, met: set[tuple[int, int]], counts: np.ndarray) -> dict[str, np.ndarray | list]:
+    """For each text with words: its place, r1, r2 (hashes of its word sequence), n (distinct words), two sketches, keys.
+
+    held: bitmap of the evaluation keys, for training texts; keys it doesn't hold are dropped. Texts met before have none.
+    """
+    h, sizes = _flat(texts, known)
     full = np.flatnonzero(sizes)
     if not len(full):
         return {k: [] for k in ("at", "r1", "r2", "n", "sketch", "sketch2", "keys")}
-    h = np.array(flat, np.uint64)
     sizes = sizes[full]
     doc = np.repeat(np.arange(len(full)), sizes)
     start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -131,19 +173,8 @@ def signatures(texts: list[str], known: dict[str, int], held: np.ndarray | None,
                 fresh[i] = True
                 if len(met) < 500_000:
                     met.add(r)
-        rare = hs & one == one
-        at, keys = [ds[rare], np.arange(len(full))], [_mix(hs[rare] + np.uint64(77)) & ~one, np.add.reduceat(_mix(hs), begins) | one]
-        for size, every, flag in ((SHORT, EVERY_SHORT, 0), (LONG, EVERY_LONG, 1)):
-            if len(h) >= size:
-                m = len(h) - size + 1
-                v = np.full(m, size, np.uint64)
-                for j in range(size):
-                    v = v * np.uint64(0x100000001B3) + h[j : j + m]
-                v = _mix(v)
-                ok = (doc[:m] == doc[size - 1 :]) & ((v >> np.uint64(40)) % np.uint64(every) == 0)
-                at.append(doc[:m][ok])
-                keys.append((v[ok] & ~one) | np.uint64(flag))
-    where, key = np.concatenate(at), np.concatenate(keys).astype(np.int64)
+        where, key = prefix_keys(hs, ds, n, counts, held is not None)
+    key = key.astype(np.int64)
     use = fresh[where] if held is None else fresh[where] & _held(held, key)
     where, key = where[use], key[use]
     o = np.lexsort((key, where))
@@ -173,14 +204,40 @@ def _held(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _signed(rows: DataFrame, bitmap: np.ndarray | None) -> DataFrame:
+def _counts(rows: DataFrame) -> np.ndarray:
+    """How many of the counted texts hold the words of each of 2**COUNT_BITS places.
+
+    Any order of words finds all pairs as long as it is the same for all texts; the counts decide the cost, not the result.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, out = {}, np.zeros(1 << COUNT_BITS, np.int64)
+        for b in batches:
+            h, sizes = _flat(list(b["text"]), known)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            o = np.lexsort((h, doc))
+            h, doc = h[o], doc[o]
+            first = np.ones(len(h), bool)
+            first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            out += np.bincount(_place(h[first]), minlength=1 << COUNT_BITS)
+        at = np.flatnonzero(out)
+        yield pd.DataFrame({"at": at, "n": out[at]})
+
+    some = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(COUNT_EVERY)) == 0))
+    got = some.select("text").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << COUNT_BITS, np.int64)
+    out[got["at"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def _signed(rows: DataFrame, bitmap: np.ndarray | None, counts: np.ndarray) -> DataFrame:
     """id, split, runtime, r1, r2, n, sketches, keys; keys only once for the copies a task meets, and only held ones."""
-    load = ship(rows.sparkSession, bitmap)
+    load = ship(rows.sparkSession, (bitmap, counts))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, known, met = load(), {}, set()
+        (held, counted), known, met = load(), {}, set()
         for b in batches:
-            got = signatures(list(b["text"]), known, held, met)
+            got = signatures(list(b["text"]), known, held, met, counted)
             f = b[["id", "split", "runtime"]].iloc[got.pop("at")].reset_index(drop=True)
             yield f.assign(**{k: pd.Series(v, dtype="object" if k == "keys" else "int64") for k, v in got.items()})
 
@@ -193,14 +250,24 @@ def _keys(signed: DataFrame, side: str) -> DataFrame:
 
 
 def candidates(evaluation: DataFrame, training: DataFrame) -> DataFrame:
-    """er, tr: texts (by r1) that share a key and may share enough words."""
+    """er, tr: texts (by r1) that share a key and may share enough words. No key is left out, however many texts hold it."""
     e, t = _keys(evaluation, "e"), _keys(training, "t")
-    per = e.groupBy("f").agg(F.count(F.lit(1)).alias("e")).join(t.groupBy("f").agg(F.count(F.lit(1)).alias("t")), "f")
-    use = per.where((F.col("f").bitwiseAND(F.lit(1)) == 1) | (F.col("e") + F.col("t") <= COMMON)).select("f")
+    per = e.groupBy("f").agg(F.count(F.lit(1)).alias("_e")).join(t.groupBy("f").agg(F.count(F.lit(1)).alias("_t")), "f")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    # each of them has BLOCK rows at least, so there are few
+    heavy = cut(per.where(F.col("_e") * F.col("_t") > BLOCK * BLOCK).select("f", blocks("_e").alias("_eb"), blocks("_t").alias("_tb")))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda r, c: F.pmod(F.xxhash64(r), F.col(c)).cast("int")
     most = F.floor((F.col("en") + F.col("tn")) * F.lit((1 - SHARE) / (1 + SHARE)) + F.lit(1e-9))
     apart = F.bit_count(F.col("es").bitwiseXOR(F.col("ts"))) + F.bit_count(F.col("ez").bitwiseXOR(F.col("tz")))
     near = (apart <= most) & (F.least("en", "tn") >= F.greatest("en", "tn") * F.lit(SHARE - 1e-9)) & (F.col("er") != F.col("tr"))
-    return e.join(use, "f").join(t, "f").where(near).select("er", "tr").distinct()
+    if not heavy.take(1):
+        return e.join(t, "f").where(near).select("er", "tr").distinct()
+    mark = F.broadcast(heavy)
+    light = e.join(mark, "f", "left_anti").join(t.join(mark, "f", "left_anti"), "f").where(near).select("er", "tr")
+    el = e.join(mark, "f").withColumn("_i", own("er", "_eb")).withColumn("_j", every("_tb")).drop("_eb", "_tb")
+    tl = t.join(mark, "f").withColumn("_j", own("tr", "_tb")).withColumn("_i", every("_eb")).drop("_eb", "_tb")
+    return light.unionByName(el.join(tl, ["f", "_i", "_j"]).where(near).select("er", "tr")).distinct()
 
 
 def coverage(evaluation: list[list[str]], training: list[list[str]]) -> list[float]:
@@ -267,14 +334,15 @@ def linked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     members: id, split, runtime, train, one (the id its text goes by on its side).
     """
-    ev = cut(_signed(rows.where("split != 'train'"), None))
+    counts = _counts(rows)
+    ev = cut(_signed(rows.where("split != 'train'"), None, counts))
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def slots(keys: pd.Series) -> pd.Series:
         return pd.Series([_slot(k).astype(np.int64) for k in keys])
 
     bitmap = _bitmap(ev.select(F.explode(slots("keys")).alias("slot")))
-    tr = cut(_signed(rows.where("split = 'train'"), bitmap))
+    tr = cut(_signed(rows.where("split = 'train'"), bitmap, counts))
     text = ["r1", "r2"]
     named = {True: tr.groupBy(*text).agg(F.min("id").alias("one")), False: ev.groupBy(*text).agg(F.min("id").alias("one"))}
     pairs = cut(candidates(ev, tr))

@@ -201,6 +201,16 @@ def test_overlaps_against_brute_force(spark):
     assert overlap.report(df, "t").groupBy().agg(F.sum("overlapping")).first()[0] == len({p for a, b in brute(side) for p in (a, b) if p[0] == "e"})
 
 
+def test_overlaps_of_a_large_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "BLOCK", 8)
+    base = [f"word{i}" for i in range(10)]
+    side = [(f"{s[1]}{i:03d}", s, " ".join([*base, f"own{s}{i}"])) for s, n in (("train", 280), ("test", 12)) for i in range(n)]
+    side += [(f"{s[1]}x{i}", s, " ".join([*base[:6], f"far{s}{i}", f"off{s}{i}"])) for s in ("train", "test") for i in range(3)]
+    df = spark.createDataFrame([(i, s, "omp", t) for i, s, t in side], "id string, split string, runtime string, text string")
+    want = brute(side)
+    assert len(want) >= 280 * 12 and rows(overlap.pairs_of(df)) == want
+
+
 def test_overlap_sides(spark):
     days = spark.createDataFrame([("2026-01-01", "train"), ("2026-01-02", "test")], "split_day string, split_name string")
     t = "the same words in both of these rows for once"
