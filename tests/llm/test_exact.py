@@ -211,6 +211,18 @@ def test_overlaps_of_a_large_group_of_near_copies(spark, monkeypatch):
     assert len(want) >= 280 * 12 and rows(overlap.pairs_of(df)) == want
 
 
+def test_overlaps_of_short_texts(spark):
+    rng = random.Random(8)
+    side = [("t1", "train", "fix the login form"), ("e1", "test", "please fix the login form"), ("e2", "test", "fix login form"), ("e3", "test", "login"), ("t3", "train", "Login!")]
+    for i in range(500):
+        t = rng.sample([f"w{k}" for k in range(60)], rng.randint(1, 10))
+        u = [x for x in t if rng.random() > 0.12] + [f"w{rng.randrange(60)}"][: rng.randint(0, 1)]
+        side += [(f"t{i:03d}x", "train", " ".join(t)), (f"e{i:03d}x", "test", " ".join(rng.sample(u, len(u))))]
+    df = spark.createDataFrame([(i, s, "omp", t) for i, s, t in side], "id string, split string, runtime string, text string")
+    got = rows(overlap.pairs_of(df))
+    assert {("e1", "t1"), ("e2", "t1"), ("e3", "t3")} <= got and got == brute(side)
+
+
 def test_overlap_sides(spark):
     days = spark.createDataFrame([("2026-01-01", "train"), ("2026-01-02", "test")], "split_day string, split_name string")
     t = "the same words in both of these rows for once"
