@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from skein.llm import boosting, crf, pairs, pii, residue
 
@@ -152,3 +153,17 @@ def test_residue(spark):
     pages = spark.createDataFrame([(i, "Return to the list.", f"s{i % 4}") for i in range(9)] + [(99, "Wait a minute and try once more.", "s1")], "doc_id long, text string, source string")
     assert {r["doc_id"] for r in residue.found(pages).collect()} == set(range(9))
     assert [(r["docs"], r["sources"]) for r in residue.recurring(pages).orderBy("docs").collect()] == [(1, 1), (9, 4)]
+
+
+def test_names_are_learned_from_all_texts(spark):
+    """A name of one text among more than 20,000, or in a text of more than 20,000 characters, is learned."""
+    parts = spark.createDataFrame(NAMES, "name_text string, name_kind string")
+    given = next(n for n, k in NAMES if k == "given")
+    family = [n for n, k in NAMES if k == "family"]
+    new = [f"{a[:-2]}{b[-3:]}".lower() for a, b in zip(family, family[1:])]
+    new = sorted(set(new) - {f.lower() for f in family})
+    plain = spark.range(21_000).select(F.concat(F.lit("p"), "id").alias("row_id"), F.lit("the window and the river table letter market").alias("text"))
+    own = spark.createDataFrame([(f"n{i}", "river table " * (2_000 * (i % 2)) + f"ask {given} {w.title()} today") for i, w in enumerate(new)], "row_id string, text string")
+    finder = pii.fit(plain.unionByName(own), parts)
+    like = {w for w in new if finder.names.like(w) > 0.2}
+    assert {new.index(w) % 2 for w in like} == {0, 1} and like <= finder.names.family
