@@ -707,16 +707,16 @@ def lr_holdout_predictions(spark, d):
     """Fit on the training side of the split, predict the held-out sessions."""
     s = cut(splits.stratified_holdout(_usable(spark, d), FRACTION, SEED))
     docs = s.select(F.col("session_id").alias("doc"), "text", F.col("value").alias("label"), "side")
-    model = classify.TextClassifier.fit(docs.where("side = 'train'").drop("side"), max_iter=20)
+    model = classify.TextClassifier.fit(docs.where("side = 'train'").drop("side"))
     held = docs.where("side = 'holdout'")
     return model.predict(held.select("doc", "text")).join(held.select("doc", "label"), "doc").select(F.col("doc").alias("session_id"), "label", "predicted", F.round("probability", 4).alias("probability"))
 
 
 @query()
 def cv_accuracy(spark, d):
-    """Mean accuracy over two stratified folds of the aspect's usable sessions."""
+    """Mean accuracy over stratified folds, five at most, of the aspect's usable sessions."""
     docs = _usable(spark, d).select(F.col("session_id").alias("doc"), "text", F.col("value").alias("label"))
-    return spark.createDataFrame([(round(classify.cross_validate(cut(docs), SEED, most=2, max_iter=10), 4),)], "accuracy double")
+    return spark.createDataFrame([(round(classify.cross_validate(cut(docs), SEED), 4),)], "accuracy double")
 
 
 # --- curriculum, prompts, reports ---------------------------------------------------------------------------------------

@@ -207,3 +207,17 @@ def test_goal_and_review_flows(spark):
     good, bad = flows.lifecycle_review(t, teacher.Stub(['so {"action":"ignore","goal_ref":"g1","lifecycle_evidence":"none"}']), t.limit(0))
     assert good.count() == 2 and bad.count() == 0
     assert flows.lifecycle_review(t, teacher.Stub(['{"action":"ignore","goal_ref":"g7","lifecycle_evidence":"none"}']))[1].count() == 2
+
+
+def test_learning_queries_run_the_whole_job(spark, data, monkeypatch):
+    from skein.plans import queries
+
+    asked = []
+    fit = classify.TextClassifier.fit.__func__
+    monkeypatch.setattr(classify.TextClassifier, "fit", classmethod(lambda cls, docs, max_iter=classify.MAX_ITER: asked.append(max_iter) or fit(cls, docs, 1)))
+    folds = []
+    whole = classify.folds
+    monkeypatch.setattr(classify, "folds", lambda docs, seed, k, *names: folds.append((k, min(r["count"] for r in docs.groupBy("label").count().collect()))) or whole(docs, seed, k, *names))
+    queries.lr_holdout_predictions(spark, data)
+    queries.cv_accuracy(spark, data)
+    assert set(asked) == {100} and all(k == min(5, least) for k, least in folds)
