@@ -1,11 +1,12 @@
 """Duplicates hidden by formatting: bottom-up hashing of nested records.
 
-A leaf is normalised to its words (case folded runs of letters, digits and marks; invisible signs dropped, so blanks,
-case and punctuation don't matter). An object sorts the digests of its fields, so their order doesn't matter; arrays keep
-their order. Records with the same root digest are confirmed by comparing their whole canonical forms, so a collision of
-digests can't merge records.
+A leaf is normalised to its letters, digits and marks (canonically composed, case folded), so blanks, invisible signs, case
+and punctuation don't matter, wherever they stand. An object sorts the digests of its fields, so their order doesn't
+matter; arrays keep their order. Records with the same root digest are confirmed by comparing their whole canonical forms,
+so a collision of digests can't merge records.
 
-Plain texts are normalised and hashed in the JVM; only texts that look like JSON are sent to Python.
+Plain texts are normalised and hashed in the JVM; only texts that look like JSON or hold combining marks are sent to
+Python. Each record is hashed once; the forms are made again only for records that share their digest.
 
 Defined cases: null counts as the empty text; a text that looks like JSON but can't be read is plain text; null ids are
 left out; a repeated id counts once for each row but is never its own copy; repeated JSON keys are all kept; columns
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import unicodedata
 
 import pandas as pd
 import regex
@@ -23,23 +25,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.functions.text import fold_case
+from skein.functions.text import bare_letters
+from skein.llm.bitmap import rows_with
 from skein.runtime import cut, skew_lookup
 
 _NODE = T.StructType([T.StructField("digest", T.StringType()), T.StructField("form", T.StringType())])
 ACKNOWLEDGED = "contract:no-task-v1"
-_INVISIBLE = r"\p{Cf}"
-_SEPARATORS = r"[^\p{L}\p{N}\p{M}]+"
-_drop, _split = regex.compile(_INVISIBLE), regex.compile(_SEPARATORS)
+_drop = regex.compile(r"[^\p{L}\p{N}\p{M}]+")
+
+
+@F.pandas_udf(T.StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
 def leaf(c: Column) -> Column:
     """Canonical form of plain text."""
-    return F.trim(F.regexp_replace(F.regexp_replace(fold_case(F.coalesce(c, F.lit(""))), _INVISIBLE, ""), _SEPARATORS, " "))
+    return bare_letters(F.coalesce(_composed(F.when(F.regexp_like(c, F.lit(r"\p{M}")), c)), c, F.lit("")))
 
 
 def _leaf(text: str) -> str:
-    return _split.sub(" ", _drop.sub("", text.upper().lower())).strip(" ")
+    return _drop.sub("", unicodedata.normalize("NFC", text).upper().lower())
 
 
 def _sha(text: str) -> str:
@@ -104,20 +110,21 @@ def _tasks(goals: DataFrame) -> DataFrame:
 
 def classes(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """first_id, copies, and copy_id for each further record of a class of equal records."""
-    nodes = canonical(rows, key, fields)
-    digests = cut(nodes.select(key, "digest"))  # without the texts
-    counts = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-    several = cut(counts.where("n > 1"))
-    total = digests.count()
-    hot = several.where(F.col("n") * 1000 >= F.lit(total)).select("digest")  # at most 1000 by counting
-    members = skew_lookup(nodes, several.select("digest"), "digest", hot, "inner")
-    forms = cut(members.groupBy("digest", "form").agg(F.min(key).alias("first_id"), F.count(F.lit(1)).alias("copies")))
+    digests = cut(canonical(rows, key, fields).select(key, F.unhex("digest").alias("digest")))  # without the texts
+    several = cut(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    hot = several.where(F.col("n") * 1000 >= F.lit(digests.count())).select("digest")  # at most 1000 by counting
+    members = cut(skew_lookup(digests, several.select("digest"), "digest", hot, "inner"))
+    # only records that share their digest are read again; equal forms combine before they are shuffled
+    nodes = canonical(rows_with(rows, members.select(key).distinct(), key), key, fields).withColumn("digest", F.unhex("digest"))
+    forms = cut(nodes.groupBy("digest", "form").agg(F.min(key).alias("first_id"), F.count(F.lit(1)).alias("copies")))
     kinds = forms.groupBy("digest").agg(F.count(F.lit(1)).alias("kinds"), F.min("first_id").alias("first_id"), F.sum("copies").alias("copies"))
     single = kinds.where("kinds = 1").drop("kinds")
-    same = skew_lookup(digests, single, "digest", hot, "inner")
-    # records that share a digest and differ in their forms: compared by the form itself
-    mixed = members.join(kinds.where("kinds > 1").select("digest"), "digest", "left_semi").join(forms.where("copies > 1"), ["digest", "form"]).drop("form")
-    return same.unionByName(mixed).where(F.col(key) != F.col("first_id")).select("first_id", F.col(key).alias("copy_id"), "copies").distinct()
+    same = skew_lookup(members, single, "digest", hot, "inner")
+    clash = kinds.where("kinds > 1").select("digest")
+    if clash.take(1):  # records that share a digest and differ in their forms: compared by the form itself
+        mixed = nodes.join(clash, "digest", "left_semi").join(forms.where("copies > 1"), ["digest", "form"]).drop("form")
+        same = same.unionByName(mixed)
+    return same.where(F.col(key) != F.col("first_id")).select("first_id", F.col(key).alias("copy_id"), "copies").distinct()
 
 
 def found(goals: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ _BARE = r"nullif(regexp_replace(lower(regexp_replace({c}, '^\s+|\s+$', '', 'g'))
 _INSTANT = r"(case when regexp_matches({c}, '^\d{{4}}-\d\d-\d\d([T ].*)?$') then case when regexp_matches({c}, '(Z|[+-]\d\d:\d\d)$') then epoch_us(try_cast({c} as timestamptz)) else epoch_us(try_cast({c} as timestamp)) end end)"
 _WORDS = r"list_distinct(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+'))"
 _TEXT = "coalesce(case when json_valid({c}) and json_type({c}) = 'OBJECT' then json_extract_string({c}, '$.text') end, {c})"
-_LEAF = r"trim(regexp_replace(regexp_replace(lower(upper(coalesce({c}, ''))), '\p{{Cf}}', '', 'g'), '[^\p{{L}}\p{{N}}\p{{M}}]+', ' ', 'g'))"
+_LEAF = r"regexp_replace(lower(upper(nfc_normalize(coalesce({c}, '')))), '[^\p{{L}}\p{{N}}\p{{M}}]+', '', 'g')"
 _AUTHOR = r"nullif(nullif(regexp_replace(regexp_replace(lower({c}), '^\s+|\s+$', '', 'g'), '^@+\s*', ''), ''), 'unknown')"
 _DAY = r"regexp_replace(regexp_extract(trim({c}), '^\d{{4}}[-/]?\d\d[-/]?\d\d'), '^(\d{{4}})[-/]?(\d\d)[-/]?(\d\d)$', '\1-\2-\3')"
 

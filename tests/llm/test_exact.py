@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,8 +115,25 @@ def test_merkle_classes(spark):
     assert merkle.found(df.limit(0)).count() == 0
 
 
+def test_merkle_sees_through_any_formatting(spark):
+    """Blanks, invisible and other signs and case put in or swapped anywhere, composed and decomposed letters."""
+    rng = random.Random(12)
+    texts = ["Keep über_alles.md", "see 3.2.7 of a/b-c", "café Zażółć gęślą", "don't stop", '{"b": "x y", "a": ["p. q", 1]}']
+
+    def disguise(t):
+        if t.startswith("{"):
+            x = json.loads(t)
+            return json.dumps({k: [disguise(x["a"][0]), 1] if k == "a" else disguise(x["b"]) for k in rng.sample(["a", "b"], 2)}, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+        out = "".join(rng.choice(["", "", "", " ", "\u200b", "\u3000", ", ", "*", "\u00ad", "'"]) + (c.upper() if rng.random() < 0.5 else c) for c in t if c.isalnum())
+        return unicodedata.normalize(rng.choice(["NFC", "NFD"]), out)
+
+    data = [goal(f"{i}", t) for i, t in enumerate(texts)] + [goal(f"{i}-{j:03d}", disguise(t)) for i, t in enumerate(texts) for j in range(40)]
+    df = spark.createDataFrame(data, GOAL)
+    assert rows(merkle.found(df)) == {(f"{i}", f"{i}-{j:03d}") for i in range(len(texts)) for j in range(40)}
+
+
 def test_merkle_compares_forms_when_digests_collide(spark, monkeypatch):
-    monkeypatch.setattr(merkle.F, "sha2", lambda c, n: F.lit("same"))
+    monkeypatch.setattr(merkle.F, "sha2", lambda c, n: F.lit("5a3e"))
     df = spark.createDataFrame([goal("1", "a"), goal("2", "b"), goal("3", "B."), goal("4", "c")], GOAL)
     assert rows(merkle.found(df)) == {("2", "3")}
 
