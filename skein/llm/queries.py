@@ -62,7 +62,7 @@ def queries() -> dict[str, Query]:
         "p9_shares": _t("documents", "mix_targets")(lambda d, t: mixing.shares(_mix(d, t), t)),
         "p10_found": _t("documents")(residue.found),
         "p10_kept": _t("documents")(residue.kept),
-        "p10_recurring": _t("documents")(lambda d: residue.recurring(d).select("message", "kind", "docs", "sources")),
+        "p10_recurring": _t("documents")(residue.recurring),
     }
 
 

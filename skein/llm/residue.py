@@ -1,18 +1,21 @@
 """Template residue, filler, error pages and script notices in place of content.
 
 A text is cut into messages (lines and sentences) after quoted passages, inline code and fenced code are taken out, so
-that texts which quote or discuss such things keep nothing of them. Numbers, ids, dates and addresses are masked and the
-exact hash of what is left groups equal messages across all documents and sources. Phrase and placeholder rules classify
-the messages: strong phrases by themselves; weak ones, which usually accompany a page (`try again`, `back to the start`),
-beside a strong one or when their message recurs widely. A document is a case when messages of one kind make up most of
-it (all of it, where only recurring weak ones speak for it); slots left unfilled in running text make it a placeholder
-case whatever else it holds.
+that texts which quote or discuss such things keep nothing of them. In every message numbers, ids, dates and addresses are
+masked, and the exact hash of what is left groups equal messages across all documents and sources. Messages that
+documents of WIDE_SOURCES sources or more hold are classified: by phrases, and by words of pages beside words of trouble,
+which also catch pages that no phrase lists. A document is a case when widely recurring messages of one kind make up
+most of it.
+
+Beside that, dummy words (which recur as words, not as messages) make filler; slots left unfilled in running text make a
+placeholder case whatever else a text holds; and a page whose messages are not (yet) held widely is a case only if each
+of its messages is one by phrases.
 
 Messages that name code (identifiers, paths with a suffix) are content: no page for readers does.
 
 Defined cases: null, empty and blank texts and texts without any message are no case; null ids are left out; ties
 between kinds go to the first of KINDS; repeated documents are cases each; texts of any length are read whole; columns
-beyond doc_id, text and source are ignored; an empty table gives an empty result.
+beyond doc_id, text and source are ignored; a null source counts as one source; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,26 +23,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.bitmap import rows_with
 from skein.runtime import cut, skew_lookup
 
 KINDS = ("placeholder", "filler", "error_page", "script_notice")
 #: A message recurs widely when documents of at least so many sources hold it.
 WIDE_SOURCES = 3
-#: A page's message is no longer than this; longer ones are content unless their words are filler.
-LONGEST = 600
+#: Lines of menus and the like, which don't count as content, are no longer than this; longer ones count as content.
+LONGEST_MENU = 600
 #: Share of a text's characters that messages of one kind must make up.
 MOST = 0.6
+#: Up to so many classified messages are broadcast (some 30 MB at most); beyond, messages meet them by a shuffle.
+FEW = 500_000
 
 # --- fixed values: phrases and forms in the four languages of the corpus ---
 _CODE = r"(?s)```.*?(?:```|\z)|`[^`\n]*`"
 _QUOTED = r'"[^"\n]{1,200}"|“[^”\n]{1,200}”|„[^”“\n]{1,200}[”“]|«[^»\n]{1,200}»'
 _TAG = r"(?s)<!--.*?-->|</?(?i:html|head|title|body|h[1-6]|hr|br|p|div|span|noscript|meta|script|a|center|img|pre|ul|ol|li|table|tr|td|style|link)\b[^<>\n]*>"
-_NAMES_CODE = r"\b[a-z]+[a-z0-9]*(?:[A-Z][a-z0-9]+){1,}\b|\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+){2,}\b|\b\w+_\w+\b|\b[a-z]+-[a-z]+-[a-z]+\b|\b[\w.-]+/[\w.-]+\.[a-z]{1,5}\b|\w+\(.*\)"
+_NAMES_CODE = r"\b[a-z][a-z0-9]*+(?:[A-Z][a-z0-9]++){1,}+\b|\b[A-Z][a-z0-9]++(?:[A-Z][a-z0-9]++){2,}+\b|\b[a-z]++-[a-z]++-[a-z]++\b|\b\w++\(.*\)"
+_PATH_OR_NAME = r"(?<![\w.-])[\w.-]++/[\w.-]+\.[a-z]{1,5}\b|\b[^\W_]++_\w"
 _SLOTS_STRONG = (
     r"\{\{\s*[\w.\- ]+?\s*\}\}|%\([\w ]+\)[sd]|\[(?i:insert|your|enter|add|fill in|todo|tbd|wstaw|wpisz|ihr|hier|su|inserte)\b[^\]\n]{0,40}\]|<<\s*[\w ]+\s*>>"
     r"|<%=?[^%\n]{1,40}%>|@@\w+@@|«[A-Za-z]\w*_\w+»|\$\{\s*[\w.\- ]+\s*\}"
 )
 _SLOTS_WEAK = r"\$[A-Za-z]\w*\$|<[A-Za-z]\w*>|(?<!\w)__[A-Za-z]\w*?__(?!\w)|(?<!\w)#[A-Za-z]\w*#|«[A-Za-z]\w*»|(?<!\w)%[A-Za-z]\w*%|(?<![{$])\{[A-Za-z]\w*\}(?!\})|\[[A-Za-z]\w*\]"
+_LAST_SLOT, _NOT_ROLE = r"\[[A-Za-z]\w*\]", r"(?!\[(?:user|assistant|system|agent|x)\])"
 _ROLE_MARK = r"(?im)^\s*\[(?:user|assistant|system|agent)\]|^\s*[-*]?\s*\[[ x]\]"
 _BOILER = r"(?i)^(?:[\w .&-]{1,20}(?:\s*\|\s*[\w .&-]{1,20})+|©.*|copyright .*|[\w-]{2,25}:\s*\S{0,24}|\(?[0-9a-f]{8,}\)?|[#\s>*-]*\p{L}+|\W*)$"
 _STRONG = {
@@ -69,8 +77,15 @@ _WEAK = {
     ),
     "script_notice": r"(?i)\b(?:turn (?:it|them) on|reload the page|your browser)\b",
 }
-_MASH = r"(?:foo|bar|baz|qux|quux|asdf|qwer|qwerty|zxcv|hjkl|blah|bla|xxx+|yyy|zzz|test|abc)"
-_HOME_ROW = r"^[asdfghjklqwe]+$"
+#: Words of pages beside words of trouble, and words of scripts beside demands: for messages that recur widely.
+_PAGE_WORDS = r"(?i)\b(?:pages?|(?:web)?site|server|request|url|links?|address|resource|service|connection|session|stron[ay]|adres|serwer\w*|żądani\w+|usług\w*|seite|anfrage|verbindung|dienst|página|sitio|servidor|solicitud|enlace|servicio)\b"
+_TROUBLE_WORDS = r"(?i)\b(?:can(?:'t|’t|not)|could(?:n't|n’t| not)|not|no longer|unable|fail(?:ed|ure)|error|denied|forbidden|expired|unavailable|missing|blocked|broken|wrong|oops|sorry|invalid|refused|nie|błąd|błędu|wygasł\w*|nicht|fehler|abgelaufen|gesperrt|no|error|caducad\w+|bloquead\w+)\b"
+_SCRIPT_WORDS = r"(?i)\b(?:java ?script|cookies?|captcha|robots?|bot|browser|ciasteczk\w*|przeglądark\w*|navegador)\b"
+_DEMAND_WORDS = r"(?i)\b(?:enable|allow|turn|switch|require[sd]?|needs?|must|verify|checking|disabled|włącz|wymaga|sprawdzamy|aktivier\w*|benötigt|prüfen|active|habilite|necesita|comprobando)\b"
+#: Such a message has no more words than this.
+_PAGE_LENGTH = 25
+_MASH_WORDS = "foo bar baz qux quux asdf qwer qwerty zxcv hjkl blah bla xxx xxxx yyy zzz test abc".split()
+_HOME_ROW = "[asdfghjklqwe]"
 _OUTLINE = r"(?i)^[#\s]*(?:(?:section|heading|title|item|chapter|paragraph|subheading|slide|abschnitt|überschrift|titel|sekcja|nagłówek|punkt|sección|título|elemento)\s+\d+|(?:some|paragraph|body|sample|description)(?:\s+(?:text|copy))?|description|text here|beschreibung|opis|descripción|fließtext|treść akapitu|texto del párrafo)\.?$"
 #: Words of the classical dummy text.
 _LATIN = (
@@ -84,104 +99,132 @@ _LATIN = (
 # --- end of fixed values ---
 
 
+def _replaced(c: Column, sign: str, pattern: str, by: str) -> Column:
+    """regexp_replace where `sign`, which every match holds, occurs at all."""
+    return F.when(c.contains(sign) if len(sign) == 1 else c.rlike(sign), F.regexp_replace(c, pattern, by)).otherwise(c)
+
+
 def content(text: Column) -> Column:
     """Text without code and, for slots, with quotations kept."""
-    return F.regexp_replace(text, _CODE, " ")
+    return _replaced(text, "`", _CODE, " ")
 
 
 def messages(text: Column) -> Column:
     """Lines and sentences without tags and quotations."""
-    plain = F.regexp_replace(F.regexp_replace(content(text), _TAG, "\n"), r"^\s*([\[{])", "$1")
+    plain = F.transform(F.array(text), lambda t: F.regexp_replace(_replaced(content(t), "<", _TAG, "\n"), r"^\s*([\[{])", "$1"))
     # JSON bodies keep their quotes: they are the message
-    plain = F.when(plain.rlike(r"^\s*[{\[]"), plain).otherwise(F.regexp_replace(plain, _QUOTED, " § "))
-    return F.filter(F.transform(F.split(plain, r"(?<=[.!?…])\s+|[\r\n]+"), lambda u: F.trim(F.regexp_replace(u, r"(?U)^[\s#>*-]+|\s+$", ""))), lambda u: u != "")
+    plain = F.transform(plain, lambda t: F.when(t.rlike(r"^\s*[{\[]"), t).otherwise(_replaced(t, '["“„«]', _QUOTED, " § ")))
+    return F.filter(F.transform(F.split(plain[0], r"(?<=[.!?…])\s+|[\r\n]+"), lambda u: F.trim(F.regexp_replace(u, r"(?U)^[\s#>*-]+|\s+$", ""))), lambda u: u != "")
 
 
 def masked(message: Column) -> Column:
-    """Message with ids, dates, addresses and numbers as signs, case folded."""
-    m = F.regexp_replace(message, r"(?i)\bhttps?://\S+|\b[\w.+-]+@[\w.-]+\.\w+\b|(?<![\w])/[\w./-]+", "§a")
-    m = F.regexp_replace(m, r"\b\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?Z?)?\b", "§d")
-    m = F.regexp_replace(m, r"\b(?=\w*\d)[0-9a-f]{6,}\b", "§i")
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(m, r"\d+", "§n")), r"(?U)\s+", " "))
-
-
-def _words(message: Column) -> Column:
-    return F.regexp_extract_all(F.lower(message), F.lit(r"\p{L}+"), F.lit(0))
-
-
-def classify(message: Column) -> Column:
-    """Struct (kind, weak): what a message is by the rules; null kind for content."""
-    w = _words(message)
+    """Message with addresses, numbers and the rest of their ids, dates and versions as signs, case folded."""
+    # one chain without conditions: inside lambdas a branch would compute its input again
+    m = F.regexp_replace(F.lower(message), r"https?://\S+|(?<![\w.+-])[\w.+-]++@[\w.-]+|(?<!\w)/[\w./-]+", "§")
+    m = F.regexp_replace(m, r"\b[a-f]{0,12}+\d[\da-f:.tz-]*", "§")
+    return F.regexp_replace(m, r"(?:[\s​]|\p{Z})+", " ")
+
+
+def _filler(message: Column) -> Column:
+    """Whether dummy words, or words of the middle row of keys, make up a message."""
+    few = F.size(F.filter(F.split(F.lower(message), r"[ .,;:!?]"), lambda x: x.isin(*_LATIN.split(), *_MASH_WORDS)))
+    w = F.split(F.lower(message), r"[^\p{L}]+")
+    n = F.size(F.filter(w, lambda x: x != ""))
     latin = F.size(F.filter(w, lambda x: x.isin(*_LATIN.split())))
-    mash = F.size(F.filter(w, lambda x: x.rlike(f"^{_MASH}$")))
-    home = F.size(F.filter(w, lambda x: x.rlike(_HOME_ROW)))
-    n = F.size(w)
-    page = F.when(F.length(message) <= LONGEST, message).otherwise(F.lit(""))
-    code = page.rlike(_NAMES_CODE) & ~page.rlike(r"(?i)javascript") | page.rlike(r"\b[\w.-]+/[\w.-]+\.[a-z]{1,5}\b|\b\w+_\w+\b")
-    json_error = page.rlike(r'(?i)^\s*\{\s*"?(?:error|errors|message|status)')
-    filler = ((n >= 4) & (latin * 10 >= n * 7)) | ((n >= 3) & (mash * 10 >= n * 8)) | ((n >= 6) & (home * 10 >= n * 9)) | page.rlike(_OUTLINE) | message.rlike(_STRONG["filler"])
-    kind = (
-        F.when(json_error, F.lit("error_page")).when(code | message.contains("§"), F.lit(None))
-        .when(filler, F.lit("filler")).when(page.rlike(_STRONG["script_notice"]), F.lit("script_notice")).when(page.rlike(_STRONG["error_page"]), F.lit("error_page"))
-    )
-    weak = F.when(code | message.contains("§"), F.lit(None)).when(page.rlike(_WEAK["error_page"]), F.lit("error_page")).when(page.rlike(_WEAK["script_notice"]), F.lit("script_notice"))
-    return F.struct(F.coalesce(kind, weak).alias("kind"), (kind.isNull() & weak.isNotNull()).alias("weak"))
-
-
-def slots(text: Column) -> tuple[Column, Column]:
-    """Number of strong and of all unfilled slots in running text."""
-    t = F.regexp_replace(F.regexp_replace(content(text), _ROLE_MARK, ""), _TAG, " ")
-    count = lambda rx: F.size(F.regexp_extract_all(t, F.lit(rx), F.lit(0)))
-    strong = count(_SLOTS_STRONG)
-    return strong, strong + F.size(F.regexp_extract_all(F.regexp_replace(t, _SLOTS_STRONG, " "), F.lit(_SLOTS_WEAK), F.lit(0)))
-
-
-def _parsed(documents: DataFrame) -> DataFrame:
-    d = documents.where("doc_id is not null and text is not null").select("doc_id", "source", "text")
-    strong, every = slots(F.col("text"))
-    unit = lambda u: F.struct(u.alias("m"), F.length(u).alias("len"), (F.when(F.length(u) <= LONGEST, u).otherwise(F.lit("§ §")).rlike(_BOILER)).alias("boiler"), classify(u).alias("c"))
-    return d.select("doc_id", "source", strong.alias("strong_slots"), every.alias("slots"), F.transform(messages(F.col("text")), unit).alias("units"))
+    mash = F.size(F.filter(w, lambda x: x.isin(*_MASH_WORDS)))
+    home = F.size(F.filter(w, lambda x: x.rlike(f"^{_HOME_ROW}+$")))
+    words = F.when(few >= 3, ((n >= 4) & (latin * 10 >= n * 7)) | ((n >= 3) & (mash * 10 >= n * 8))).otherwise(F.lit(False))
+    # nine tenths of six words or more leave five in a row
+    keys = F.when(message.rlike(rf"(?i)(?:\b{_HOME_ROW}++\P{{L}}++){{4}}{_HOME_ROW}++\b"), (n >= 6) & (home * 10 >= n * 9)).otherwise(F.lit(False))
+    return words | keys
+
+
+def classify(message: Column, wide: bool) -> Column:
+    """Struct (kind, weak): what a message is by the rules; null kind for content. wide: it recurs widely."""
+    json_error = message.rlike(r'(?i)^\s*\{\s*"?(?:error|errors|message|status)')
+    code = message.rlike(_PATH_OR_NAME) | message.rlike(_NAMES_CODE) & ~message.rlike("(?i)javascript")
+    kind = F.when(message.rlike(_OUTLINE) | message.rlike(_STRONG["filler"]), F.lit("filler")).when(message.rlike(_STRONG["script_notice"]), F.lit("script_notice")).when(message.rlike(_STRONG["error_page"]), F.lit("error_page"))
+    weak = F.when(message.rlike(_WEAK["error_page"]), F.lit("error_page")).when(message.rlike(_WEAK["script_notice"]), F.lit("script_notice"))
+    if wide:
+        short = F.size(F.split(message, r"\s+")) <= _PAGE_LENGTH
+        words = F.when(short & message.rlike(_SCRIPT_WORDS) & message.rlike(_DEMAND_WORDS), F.lit("script_notice")).when(short & message.rlike(_PAGE_WORDS) & message.rlike(_TROUBLE_WORDS), F.lit("error_page"))
+        kind = F.coalesce(kind, F.when(weak.isNull(), words))
+    both = F.struct(F.coalesce(kind, weak).alias("kind"), (kind.isNull() & weak.isNotNull()).alias("weak"))
+    none = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(False).alias("weak"))
+    return F.when(json_error, F.struct(F.lit("error_page").alias("kind"), F.lit(False).alias("weak"))).when(message.contains("§") | code, none).otherwise(both)
+
+
+def slots(text: Column) -> Column:
+    """Struct (strong, weak): numbers of unfilled slots in running text; null where there is none at all."""
+    first = r"(?=[{%\[<@«$_#])"
+    count = lambda c, rx: F.size(F.regexp_extract_all(c, F.lit(f"{first}(?:{rx})"), F.lit(0)))
+    clean = F.transform(F.array(F.regexp_replace(content(text), _ROLE_MARK, "")), lambda t: F.regexp_replace(t, _TAG, " "))
+    both = F.transform(clean, lambda t: F.struct(count(t, _SLOTS_STRONG).alias("strong"), count(F.regexp_replace(t, _SLOTS_STRONG, " "), _SLOTS_WEAK).alias("weak")))[0]
+    # every slot stands in the text as it is, too
+    return F.when(text.rlike(f"{first}(?:{_SLOTS_STRONG}|{_SLOTS_WEAK.replace(_LAST_SLOT, _NOT_ROLE + _LAST_SLOT)})"), both)
 
 
 def _scanned(documents: DataFrame) -> DataFrame:
-    """One pass over all texts: doc_id, source, filled, total, hits of the documents with slots or classified messages."""
-    total = F.aggregate("units", F.lit(0), lambda a, u: a + F.when(u["boiler"] & u["c"]["kind"].isNull(), F.lit(0)).otherwise(u["len"]))
-    hit = F.filter("units", lambda u: u["c"]["kind"].isNotNull())
-    p = _parsed(documents).select("doc_id", "source", ((F.col("strong_slots") >= 1) | (F.col("slots") >= 2)).alias("filled"), total.alias("total"), hit.alias("hits"))
-    slim = F.transform("hits", lambda u: F.struct(u["c"]["kind"].alias("kind"), u["c"]["weak"].alias("weak"), u["len"].alias("len"), masked(u["m"]).alias("message")))
-    return cut(p.where(F.col("filled") | (F.size("hits") > 0)).select("doc_id", "source", "filled", "total", slim.alias("hits")))
-
-
-def _flagged(scanned: DataFrame) -> DataFrame:
-    """One row per classified message: doc_id, source, kind, weak, len, key, message, and the document's length of content."""
-    return scanned.select("doc_id", "source", "total", F.explode("hits").alias("u")).select("doc_id", "source", "total", "u.kind", "u.weak", "u.len", F.sha2("u.message", 256).alias("key"), "u.message")
+    """One pass over all texts: doc_id, source, filled and units (key, len, menu, kind, weak) of the documents with messages.
+
+    key is the 64-bit hash of the masked message. kind is set for filler words and, in texts that begin like a page, by
+    phrases.
+    """
+    d = documents.where("doc_id is not null and text is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
+    d = d.select("doc_id", "source", slots(F.col("text")).alias("s"), messages(F.col("text")).alias("ms"))
+    d = d.select("doc_id", "source", F.coalesce((F.col("s.strong") >= 1) | (F.col("s.strong") + F.col("s.weak") >= 2), F.lit(False)).alias("filled"), "ms")
+    menu = lambda u: F.when(F.length(u) <= LONGEST_MENU, u.rlike(_BOILER)).otherwise(F.lit(False))
+    opening = F.coalesce(F.get(F.filter("ms", lambda u: ~menu(u)), F.lit(0)), F.get("ms", F.lit(0)))
+    d = d.withColumn("page", F.coalesce(classify(opening, False)["kind"].isNotNull(), F.lit(False)))
+    unit = lambda u, c: F.struct(F.xxhash64(masked(u)).alias("key"), F.length(u).alias("len"), menu(u).alias("menu"), c["kind"].alias("kind"), c["weak"].alias("weak"))
+    by_words = lambda u: F.struct(F.when(_filler(u) & ~u.contains("§"), F.lit("filler")).alias("kind"), F.lit(False).alias("weak"))
+    by_phrases = lambda u: F.struct(F.coalesce(by_words(u)["kind"], classify(u, False)["kind"]).alias("kind"), (by_words(u)["kind"].isNull() & classify(u, False)["weak"]).alias("weak"))
+    units = F.when(F.col("page"), F.transform("ms", lambda u: unit(u, by_phrases(u)))).otherwise(F.transform("ms", lambda u: unit(u, by_words(u))))
+    return cut(d.select("doc_id", "source", "filled", "page", units.alias("units")))
+
+
+def _wide(scanned: DataFrame, documents: DataFrame) -> DataFrame:
+    """key, kind, weak, docs, sources, message of the widely recurring messages that are none of content."""
+    keys = scanned.select("doc_id", "source", F.explode(F.array_distinct(F.transform("units", lambda u: u["key"]))).alias("key"))
+    by_source = keys.groupBy("key", "source").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("doc_id"))
+    wide = by_source.groupBy("key").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("sources"), F.min("doc_id").alias("doc_id")).where(F.col("sources") >= WIDE_SOURCES)
+    wide = cut(wide)
+    # the texts of one document for each of them are cut again, to read the message itself
+    texts = rows_with(documents.select("doc_id", "text"), wide.select("doc_id").distinct(), "doc_id").select("doc_id", F.explode(messages(F.col("text"))).alias("message"))
+    named = wide.join(texts.select("doc_id", F.xxhash64(masked(F.col("message"))).alias("key"), "message"), ["doc_id", "key"]).groupBy("key", "docs", "sources").agg(F.min("message").alias("message"))
+    c = classify(F.col("message"), True)
+    return cut(named.select("key", c["kind"].alias("kind"), c["weak"].alias("weak"), "docs", "sources", "message").where("kind is not null"))
 
 
 def recurring(documents: DataFrame) -> DataFrame:
-    """key, kind, docs, sources of each classified message: exact hashes of masked messages grouped over all documents."""
-    f = _flagged(_scanned(documents))
-    per = f.groupBy("key", "kind", "source", "doc_id").agg(F.max("message").alias("message"))
-    by_source = per.groupBy("key", "kind", "source").agg(F.count(F.lit(1)).alias("docs"), F.max("message").alias("message"))
-    return by_source.groupBy("key", "kind").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("sources"), F.max("message").alias("message"))
+    """message, kind, docs, sources of each widely recurring message that is no content."""
+    return _wide(_scanned(documents), documents).select(masked(F.col("message")).alias("message"), "kind", "docs", "sources")
 
 
 def found(documents: DataFrame) -> DataFrame:
     scanned = _scanned(documents)
-    f = _flagged(scanned).drop("message")
-    held = f.where("weak").groupBy("key", F.coalesce("source", F.lit("")).alias("s")).agg(F.lit(1).alias("one"))
-    wide = held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= WIDE_SOURCES).select("key", F.lit(True).alias("wide"))
-    weak = skew_lookup(f.where("weak"), wide, "key")
-    every = f.where("not weak").withColumn("wide", F.lit(False)).unionByName(weak)
+    wide = _wide(scanned, documents)
+    units = scanned.select("doc_id", "page", F.explode("units").alias("u")).select("doc_id", "page", "u.*")
+    known = wide.select("key", F.col("kind").alias("wide_kind"), F.col("weak").alias("wide_weak"))
+    if wide.count() <= FEW:
+        marked = units.join(F.broadcast(known), "key", "left")
+    else:
+        marked = skew_lookup(units, known, "key")
+    # what recurs widely goes by its class, all else by words or, in texts that begin like a page, by phrases
+    marked = marked.select("doc_id", "len", "menu", F.coalesce("wide_kind", "kind").alias("kind"), F.coalesce("wide_weak", "weak").alias("weak"), F.col("wide_kind").isNotNull().alias("wide"))
     size = lambda cond: F.sum(F.when(cond, F.col("len")).otherwise(F.lit(0)))
-    by_kind = every.groupBy("doc_id", "kind").agg(F.sum("len").alias("len"), size(~F.col("weak")).alias("sure"), size(F.coalesce("wide", F.lit(False))).alias("wide"), F.max("total").alias("total"))
-    place = F.negate(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")))
-    whole = by_kind.groupBy("doc_id").agg(
-        F.max("total").alias("total"), F.sum("len").alias("all"), F.sum("wide").alias("wide"), F.max(F.struct("sure", "wide", place.alias("o"), "kind")).alias("best")
+    of = lambda k, cond: size((F.col("kind") == k) & cond)
+    pages = KINDS[1:]
+    sure = [of(k, ~F.col("weak")).alias(f"sure_{k}") for k in pages] + [of(k, F.col("weak") & F.col("wide")).alias(f"weak_{k}") for k in pages]
+    doc = marked.groupBy("doc_id").agg(
+        size(~F.col("menu") | F.col("kind").isNotNull()).alias("total"), size(F.col("kind").isNotNull()).alias("all"), F.coalesce(F.max(~F.col("weak") & (F.col("wide") | (F.col("kind") == "filler"))), F.lit(False)).alias("by_wide"), *sure
     )
-    most = F.when(F.col("best.sure") > 0, F.col("all") >= F.col("total") * MOST).otherwise(F.col("wide") >= F.col("total"))
-    pages = whole.where(most).select("doc_id", F.col("best.kind").alias("kind"))
+    best = F.array_max(F.array(*[F.struct(F.col(f"sure_{k}").alias("sure"), F.col(f"weak_{k}").alias("weak"), F.lit(-i).alias("o"), F.lit(k).alias("kind")) for i, k in enumerate(pages)]))
+    doc = doc.withColumn("best", best)
+    lone = F.when(F.col("by_wide"), F.col("all") >= F.col("total") * MOST).otherwise(F.col("all") >= F.col("total"))
+    most = F.when(F.col("best.sure") > 0, lone).otherwise((F.col("best.weak") > 0) & (F.col("best.weak") >= F.col("total")))
     filled = scanned.where("filled").select("doc_id", F.lit("placeholder").alias("kind"))
-    both = filled.unionByName(pages)
+    both = filled.unionByName(doc.where(most).select("doc_id", F.col("best.kind").alias("kind")))
     return both.groupBy("doc_id").agg(F.max(F.when(F.col("kind") == "placeholder", F.col("kind"))).alias("p"), F.max("kind").alias("k")).select("doc_id", F.coalesce("p", "k").alias("kind"))
 
 

@@ -152,7 +152,18 @@ def test_residue(spark):
     assert residue.found(df.limit(0)).count() == 0
     pages = spark.createDataFrame([(i, "Return to the list.", f"s{i % 4}") for i in range(9)] + [(99, "Wait a minute and try once more.", "s1")], "doc_id long, text string, source string")
     assert {r["doc_id"] for r in residue.found(pages).collect()} == set(range(9))
-    assert [(r["docs"], r["sources"]) for r in residue.recurring(pages).orderBy("docs").collect()] == [(1, 1), (9, 4)]
+    assert [(r["docs"], r["sources"]) for r in residue.recurring(pages).orderBy("docs").collect()] == [(9, 4)]
+
+
+def test_recurring_pages_that_no_phrase_lists(spark, monkeypatch):
+    oops, lone = "Oops! That page can't be found.", "That page can't be reached."
+    data = [(900, lone, "s1"), (901, f"{oops} The form saves again and the tests pass, so the list of notes has all of its rows.", "s1")]
+    data += [(1000, "error: internal server error " + "x y z " * 800, "s1"), (1001, f"The {oops.lower()} text is gone.", None)]
+    short = spark.createDataFrame([(i, oops, f"s{i % 5}") for i in range(250)] + data, "doc_id long, text string, source string")
+    got = {r["doc_id"] for r in residue.found(short).collect()}
+    assert {*range(250), 1000} <= got and not got & {900, 901, 1001}
+    monkeypatch.setattr(residue, "WIDE_SOURCES", 10**9)
+    assert not {r["doc_id"] for r in residue.found(short).collect()} & {*range(250)}
 
 
 def test_names_are_learned_from_all_texts(spark):
