@@ -1,12 +1,17 @@
 """Same or near-same records across splits.
 
-Two texts overlap when they share at least SHARE of all their distinct words. Pairs come from an exact prefix filter, a
-join on hashed words: with all words in one order, rare ones first, two texts that overlap share a word among the first
-few of each (prefix_keys). Every such word is a key whatever the length of the text and however many texts hold it; keys
-with very many pairs are joined in blocks. The share of words is then checked exactly. Aho-Corasick automata play no part in
-finding pairs: they only report, for pairs that passed, how much of the evaluation text its passages cover.
-
-A bitmap of fixed size (BITS) drops training keys that no evaluation text has; when the data outgrow it, it only drops
+Two texts overlap when they share at least SHARE of all their distinct words. Evaluation texts are dealt to shards. Each
+shard has one Aho-Corasick automaton over the normalised passages of its evaluation texts: their single words, and runs
+of PASSAGE words. It scans the training texts of its shard whole; every match is an interval that covers a word of the
+evaluation records which hold it, and the merged intervals give the words of each record that the training text covers.
+That coverage and the sizes of both texts decide a pair exactly. The runs give the coverage in passages of the report.
+
+Which shards must scan a training text is settled by an exact filter, so that not every automaton has to read every text:
+with all words in one order, rare ones first, two texts that overlap share a word among the first few of each
+(prefix_keys). Every such word is a key whatever the length of the text and however many texts hold it; keys with very
+many texts are met in blocks. A shard with many training texts is split by them.
+
+A bitmap of fixed size drops training keys that no evaluation text has; when the data outgrow it, it only drops
 less. Copies within a task give keys once. While keys meet, a parity sketch prunes: bit j tells whether an odd number of
 a text's words fall on j, so the bits in which two texts differ are never more than the words they don't share; this
 can't lose a pair.
@@ -29,8 +34,9 @@ from pyspark.sql import types as T
 
 from skein.functions.text import RUNTIMES, trim_ws
 from skein.functions.timefn import day_of
+from skein.llm.bitmap import BITS, bitmap, in_bitmap, rows_with
 from skein.llm.merkle import ACKNOWLEDGED
-from skein.runtime import cut, ship, skew_lookup
+from skein.runtime import cut, hot_keys, ship, skew_lookup
 
 SHARE = 0.7
 #: Sizes of texts fall into classes; each class begins at so many times the one before.
@@ -39,10 +45,12 @@ CLASS_STEP = 1.15
 COUNT_BITS, COUNT_EVERY = 18, 8
 #: A key that brings together more pairs than the square of this is joined in blocks of about so many rows a side.
 BLOCK = 4096
-#: Passages of the automata, in words.
+#: Passages of the automata, in words, beside single words.
 PASSAGE = 3
-#: The bitmaps have 2**BITS bits (2 MB).
-BITS = 24
+#: Evaluation texts of a shard, and training texts that one task of a shard scans (about).
+SHARD, SCANNED = 64, 1024
+#: Parts of the copies of a text that a large share of the rows holds.
+SALTS = 64
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -190,18 +198,8 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return (keys.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(64 - BITS)
 
 
-def _bitmap(slots: DataFrame) -> np.ndarray:
-    """Bitmap of a column `slot`: at most 2**BITS / 64 words come to the driver, whatever the size of the data."""
-    word = slots.groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
-    rows = word.toPandas()
-    out = np.zeros(1 << (BITS - 6), np.int64)
-    out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
-    return out.view(np.uint64)
-
-
-def _held(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    s = _slot(keys)
-    return (bitmap[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1) == 1
+def _held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return in_bitmap(bits, _slot(keys))
 
 
 def _counts(rows: DataFrame) -> np.ndarray:
@@ -230,9 +228,9 @@ def _counts(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _signed(rows: DataFrame, bitmap: np.ndarray | None, counts: np.ndarray) -> DataFrame:
+def _signed(rows: DataFrame, bits: np.ndarray | None, counts: np.ndarray) -> DataFrame:
     """id, split, runtime, r1, r2, n, sketches, keys; keys only once for the copies a task meets, and only held ones."""
-    load = ship(rows.sparkSession, (bitmap, counts))
+    load = ship(rows.sparkSession, (bits, counts))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         (held, counted), known, met = load(), {}, set()
@@ -252,7 +250,9 @@ def _keys(signed: DataFrame, side: str) -> DataFrame:
 def candidates(evaluation: DataFrame, training: DataFrame) -> DataFrame:
     """er, tr: texts (by r1) that share a key and may share enough words. No key is left out, however many texts hold it."""
     e, t = _keys(evaluation, "e"), _keys(training, "t")
-    per = e.groupBy("f").agg(F.count(F.lit(1)).alias("_e")).join(t.groupBy("f").agg(F.count(F.lit(1)).alias("_t")), "f")
+    # which keys are met in blocks decides the cost and not the result, so some of the texts tell
+    some = lambda x, r, c: x.where(F.pmod(F.xxhash64(r), F.lit(COUNT_EVERY)) == 0).groupBy("f").agg((F.count(F.lit(1)) * COUNT_EVERY).alias(c))
+    per = some(e, "er", "_e").join(some(t, "tr", "_t"), "f", "full").select("f", F.coalesce("_e", F.lit(1)).alias("_e"), F.coalesce("_t", F.lit(1)).alias("_t"))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     # each of them has BLOCK rows at least, so there are few
     heavy = cut(per.where(F.col("_e") * F.col("_t") > BLOCK * BLOCK).select("f", blocks("_e").alias("_eb"), blocks("_t").alias("_tb")))
@@ -270,63 +270,86 @@ def candidates(evaluation: DataFrame, training: DataFrame) -> DataFrame:
     return light.unionByName(el.join(tl, ["f", "_i", "_j"]).where(near).select("er", "tr")).distinct()
 
 
-def coverage(evaluation: list[list[str]], training: list[list[str]]) -> list[float]:
-    """Share of each evaluation text that passages matched in its training text cover, by one automaton for the shard."""
-    import ahocorasick
-
-    auto = ahocorasick.Automaton()
-    spans: dict[str, int] = {}
-    for words in {tuple(w) for w in evaluation}:
-        for i in range(max(1, len(words) - PASSAGE + 1)):
-            p = " " + " ".join(words[i : i + PASSAGE]) + " "
-            spans[p] = len(p)
-    for p in spans:
-        auto.add_word(p, p)
-    auto.make_automaton()
-    out = []
-    scanned: dict[tuple, set] = {}
-    for e, t in zip(evaluation, training, strict=True):
-        key = tuple(t)
-        if key not in scanned:
-            scanned[key] = {p for _, p in auto.iter(" " + " ".join(t) + " ")}
-        hits, covered, end = scanned[key], 0, 0
-        for i in range(max(1, len(e) - PASSAGE + 1)):
-            if " " + " ".join(e[i : i + PASSAGE]) + " " in hits:
-                start, stop = max(i, end), min(i + PASSAGE, len(e))
-                covered += max(0, stop - start)
-                end = max(end, stop)
-        out.append(covered / len(e))
-    return out
-
-
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        e, t = [words_of(x) for x in b["etext"]], [words_of(x) for x in b["ttext"]]
-        share = []
-        for x, y in zip(e, t, strict=True):
-            p, q = set(x), set(y)
-            both = len(p & q)
-            share.append(both / max(1, len(p) + len(q) - both))
-        ok = [s >= SHARE - 1e-9 for s in share]
-        kept = b[ok][["eid", "tid"]].copy()
-        kept["share"] = [s for s, o in zip(share, ok, strict=True) if o]
-        kept["coverage"] = coverage([x for x, o in zip(e, ok, strict=True) if o], [x for x, o in zip(t, ok, strict=True) if o]) if len(kept) else pd.Series(dtype="float64")
-        yield kept
-
-
-def _texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, text of the given ids (distinct); a bitmap of fixed size keeps other texts out of the shuffle."""
-    slot = F.shiftrightunsigned(F.xxhash64("id"), 64 - BITS)
-    load = ship(rows.sparkSession, _bitmap(ids.select(slot.alias("slot"))))
-
-    @F.pandas_udf(T.BooleanType())
-    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bits = load()
-        for s in batches:
-            v = s.to_numpy(np.int64)
-            yield pd.Series((bits[v >> 6] >> (v & 63).astype(np.uint64)) & np.uint64(1) == 1)
-
-    return rows.where(held(slot)).select("id", "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
+class Shard:
+    """One automaton over the passages of some evaluation texts."""
+
+    def __init__(self, ids: list[str], texts: list[str]):
+        import ahocorasick
+
+        self.ids, self.words = ids, [words_of(t) for t in texts]
+        self.auto = ahocorasick.Automaton()
+        place: dict[str, int] = {}
+        cells = [(place.setdefault(w, len(place)), j) for j, ws in enumerate(self.words) for w in set(ws)]
+        self.holds = np.zeros((len(place) + 1, len(ids)), np.uint8)  # the last row stays empty
+        if cells:
+            self.holds[tuple(np.array(cells).T)] = 1
+        self.n = self.holds.sum(axis=0, dtype=np.int64)
+        self.auto.add_word("  ", -1)  # matches nothing: words stand one blank apart
+        for w, i in place.items():
+            self.auto.add_word(f" {w} ", i)
+        for ws in self.words:
+            for p in _runs(ws):
+                if len(p) > 1:
+                    self.auto.add_word(_passage(p), p)
+        self.auto.make_automaton()
+
+    def scan(self, text: str) -> Iterator[tuple[str, float, float]]:
+        """(id, share of all words, coverage in passages) of the evaluation texts that overlap a training text."""
+        words = words_of(text)
+        met, runs = set(), set()
+        for _, hit in self.auto.iter(_passage(words)):
+            (runs if isinstance(hit, tuple) else met).add(hit)
+        both = self.holds[[*met, -1]].sum(axis=0, dtype=np.int64)
+        share = both / np.maximum(1, self.n + len(set(words)) - both)
+        for j in np.flatnonzero((share >= SHARE - 1e-9) & (both > 0)):
+            yield self.ids[j], float(share[j]), self._covered(self.words[j], runs)
+
+    @staticmethod
+    def _covered(words: list[str], runs: set[tuple[str, ...]]) -> float:
+        """Share of the words of an evaluation text under merged intervals of matched runs."""
+        if len(words) < 2:
+            return 1.0
+        covered = end = 0
+        for i, p in enumerate(_runs(words)):
+            if p in runs:
+                stop = i + len(p)
+                covered, end = covered + stop - max(i, end), stop
+        return covered / len(words)
+
+
+def _passage(words) -> str:
+    return f" {' '.join(words)} "
+
+
+def _runs(words: list[str]) -> list[tuple[str, ...]]:
+    return [tuple(words[i : i + PASSAGE]) for i in range(max(1, len(words) - PASSAGE + 1))]
+
+
+def _scan(group: pd.DataFrame) -> pd.DataFrame:
+    """Links of one part of a shard: rows are its evaluation texts and the training texts to scan."""
+    ev = group[~group["train"]].drop_duplicates("id")
+    shard = Shard(list(ev["id"]), list(ev["text"]))
+    out = [(e, t, share, cover) for t, text in zip(group["id"][group["train"]], group["text"][group["train"]]) for e, share, cover in shard.scan(text)]
+    return pd.DataFrame(out, columns=["eid", "tid", "share", "coverage"])
+
+
+def scanned(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """eid, tid, share, coverage of the links among the shards and training texts that pairs (eid, tid) route.
+
+    rows: id, text.
+    """
+    eids = pairs.select("eid").distinct()
+    shards = max(1, -(-eids.count() // SHARD))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int").alias("shard")
+    routed = cut(pairs.select(at("eid"), F.col("tid").alias("id")).distinct())
+    parts = routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SCANNED).cast("int").alias("parts"))
+    hot = routed.groupBy("shard").count().where(F.col("count") * 1000 >= F.lit(routed.count())).select("shard")
+    texts = cut(rows_with(rows.select("id", "text"), eids.select(F.col("eid").alias("id")).union(routed.select("id")).distinct(), "id").dropDuplicates(["id"]))
+    train = skew_lookup(routed, parts, "shard", hot, "inner").select("shard", F.pmod(F.xxhash64("id", F.lit(1)), "parts").cast("int").alias("part"), "id", F.lit(True).alias("train"))
+    ev = eids.select(at("eid"), F.col("eid").alias("id")).join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", F.lit(False).alias("train"))
+    # an id can be routed to many shards, and its text is met once for each
+    mine = skew_lookup(train.unionByName(ev), texts, "id", how="inner")
+    return mine.groupBy("shard", "part").applyInPandas(_scan, "eid string, tid string, share double, coverage double")
 
 
 def linked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -341,18 +364,15 @@ def linked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     def slots(keys: pd.Series) -> pd.Series:
         return pd.Series([_slot(k).astype(np.int64) for k in keys])
 
-    bitmap = _bitmap(ev.select(F.explode(slots("keys")).alias("slot")))
-    tr = cut(_signed(rows.where("split = 'train'"), bitmap, counts))
+    held = bitmap(ev.select(F.explode(slots("keys")).alias("slot")))
+    tr = cut(_signed(rows.where("split = 'train'"), held, counts))
     text = ["r1", "r2"]
     named = {True: tr.groupBy(*text).agg(F.min("id").alias("one")), False: ev.groupBy(*text).agg(F.min("id").alias("one"))}
     pairs = cut(candidates(ev, tr))
-    # equal hashes name all texts that have them; the words decide
+    # equal hashes name all texts that have them; the automata decide
     ids = pairs.join(named[False].select(F.col("r1").alias("er"), F.col("one").alias("eid")), "er").join(named[True].select(F.col("r1").alias("tr"), F.col("one").alias("tid")), "tr")
     same = named[False].withColumnRenamed("one", "eid").join(named[True].withColumnRenamed("one", "tid"), text)
-    ids = cut(ids.select("eid", "tid").unionByName(same.select("eid", "tid")))
-    texts = cut(_texts_of(rows, ids.select(F.col("eid").alias("id")).union(ids.select("tid")).distinct()))
-    both = ids.join(texts.select(F.col("id").alias("eid"), F.col("text").alias("etext")), "eid").join(texts.select(F.col("id").alias("tid"), F.col("text").alias("ttext")), "tid")
-    links = cut(both.mapInPandas(_verify, "eid string, tid string, share double, coverage double"))
+    links = cut(scanned(cut(ids.select("eid", "tid").unionByName(same.select("eid", "tid"))), rows))
     parts = []
     for train, signed in ((True, tr), (False, ev)):
         big = signed.groupBy(*text).agg(F.min("id").alias("one"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
@@ -362,10 +382,16 @@ def linked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def pairs_of(rows: DataFrame) -> DataFrame:
+    """id_a, id_b of all rows whose texts are linked; a text with very many copies meets its links in SALTS parts."""
     links, members = linked(rows)
-    e = members.where("not train").select(F.col("one").alias("eid"), F.col("id").alias("e"))
-    t = members.where("train").select(F.col("one").alias("tid"), F.col("id").alias("t"))
-    p = links.select("eid", "tid").join(e, "eid").join(t, "tid").where("e != t")
+    hot = hot_keys(members, "one").select("one", F.lit(True).alias("_hot"))
+    p = links.select("eid", "tid")
+    for side, train in (("eid", False), ("tid", True)):
+        mine = members.where(F.col("train") == F.lit(train)).join(F.broadcast(hot), "one", "left")
+        mine = mine.select(F.col("one").alias(side), F.col("id").alias(side[0]), F.when(F.col("_hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)).alias("_s"))
+        every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        p = p.join(F.broadcast(hot.withColumnRenamed("one", side)), side, "left").withColumn("_s", F.explode(every)).drop("_hot").join(mine, [side, "_s"]).drop("_s")
+    p = p.where("e != t")
     return p.select(F.least("e", "t").alias("id_a"), F.greatest("e", "t").alias("id_b")).distinct()
 
 

@@ -249,9 +249,42 @@ def test_overlap_sides(spark):
     assert rows(overlap.found(tr, days, g)) == {("1", "2"), ("g1", "g2")}
 
 
-def test_coverage():
+def test_a_shard_scans():
     e = "a b c d e f g h".split()
-    assert overlap.coverage([e, e, e], [e, "x b c d y".split(), ["q"]]) == [1.0, 3 / 8, 0.0]
+    shard = overlap.Shard(["one", "two", "none", "w"], [" ".join(e), "A, b c d e f g x", "q r s", "solo"])
+    assert list(shard.scan("a b c d e f g h")) == [("one", 1.0, 1.0), ("two", 7 / 9, 7 / 8)]
+    assert list(shard.scan("h g f e d c b a")) == [("one", 1.0, 0.0), ("two", 7 / 9, 0.0)]
+    assert list(shard.scan("solo Solo")) == [("w", 1.0, 1.0)] and not list(shard.scan("")) and not list(shard.scan("--")) and not list(shard.scan("ab cd"))
+    assert list(overlap.Shard([], []).scan("a b")) == []
+
+
+def template(trains: int):
+    """20 evaluation and `trains` training rows of one template of 66 words, edited every 11 words."""
+    rng = random.Random(4)
+    base = [f"word{i}" for i in range(66)]
+
+    def edited(i):
+        w = list(base)
+        for k in range(0, 66, 11):
+            w[k + rng.randrange(11)] = f"x{rng.randrange(30)}"
+        return w
+
+    return [(f"{s[1]}{i:05d}", s, " ".join(edited(i))) for s, n in (("train", trains), ("test", 20)) for i in range(n)]
+
+
+@pytest.mark.parametrize("trains", [100, 400, 5000])
+def test_overlaps_of_a_template(spark, trains):
+    side = template(trains)
+    df = spark.createDataFrame([(i, s, "omp", t) for i, s, t in side], "id string, split string, runtime string, text string")
+    got = rows(overlap.pairs_of(df))
+    assert len(got) > trains and got == brute(side)
+
+
+def test_the_automata_find_the_overlaps(spark, monkeypatch):
+    monkeypatch.setattr(overlap.Shard, "scan", lambda self, text: iter(()))
+    df = spark.createDataFrame([(i, s, "omp", t) for i, s, t in template(50)], "id string, split string, runtime string, text string")
+    assert overlap.pairs_of(df).count() == 0
+
 
 
 def test_bpe_against_the_library(spark):
