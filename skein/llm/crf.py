@@ -56,7 +56,20 @@ class LinearChainCRF:
         for _ in range(self.epochs):
             for lo in range(0, len(order), 64):
                 dw, dt, ds = self.l2 * self.w, self.l2 * self.t, self.l2 * self.start
-                for r in order[lo : lo + 64]:
+                part = order[lo : lo + 64]
+                single = [r for r in part if len(ids[r]) == 1]
+                if single:  # sequences of one position need no chain
+                    at = np.concatenate([ids[r][0] for r in single])
+                    of = np.repeat(np.arange(len(single)), [len(ids[r][0]) for r in single])
+                    s = np.tile(self.start, (len(single), 1))
+                    np.add.at(s, of, self.w[at])
+                    d = np.exp(s - self._lse(s, 1)[:, None])
+                    d[np.arange(len(single)), [ys[r][0] for r in single]] -= 1
+                    np.add.at(dw, at, d[of] / 64)
+                    ds = ds + d.sum(axis=0) / 64
+                for r in part:
+                    if len(ids[r]) == 1:
+                        continue
                     s = np.array([self.w[f].sum(axis=0) for f in ids[r]])
                     f, b, z = self._forward_backward(s)
                     p = np.exp(f + b - z)

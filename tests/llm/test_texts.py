@@ -76,6 +76,20 @@ def test_pair_defects(spark):
     assert {tuple(r) for r in pairs.found(df.unionByName(df)).collect()} >= set()
 
 
+def test_pair_defects_of_other_wording(spark):
+    """Refusals, languages and endings that no list has, by a field fitted on the composed rows."""
+    data, _ = prediction_rows()
+    m = "Could you please fix the login form because it loses the name that was entered and the team is waiting for it."
+    cases = [
+        ("Count me out of this one", "refusal"), ("Nope, not going there", "refusal"), ("This topic is off the table for me", "refusal"), ("Renommer la bannière de facturation avant la publication", "language"),
+        ("Rinomina il banner di fatturazione prima della versione", "language"), ("Почини форму входа", "language"), ("Fix the login form", None), ("Fix the entered name", None), ("Fix the login fo", "truncated"), ("<goal>Fix the login form", "truncated"),
+    ]
+    df = spark.createDataFrame(data + [(9000 + i, "s", m, "<goal>Fix the login form</goal>", a, "x") for i, (a, _) in enumerate(cases)], PRED)
+    got = {(r["pred_id"], r["defect"]) for r in pairs.found(df).where("pred_id >= 9000").collect()}
+    want = {(9000 + i, d) for i, (_, d) in enumerate(cases) if d}
+    assert len(got ^ want) <= 1, got ^ want
+
+
 NAMES = [("Anna", "given"), ("Björn", "given"), ("Will", "given"), ("Rose", "given"), ("Talgradby", "family"), ("Ostlinson", "family"), ("Bellinwicz", "family"), ("Kafenez", "family")] + [(f"{a}{b}", "family") for a in ("Grat", "Mornel", "Vastrun", "Dolfin", "Hespar", "Lindor") for b in ("by", "wicz", "son", "ez", "ford")]
 CASES = [
     ("Call Anna Talgradby at +44 7700 900123 now", {("name", 6), ("phone", 24)}),
