@@ -36,7 +36,7 @@ from skein.functions.text import RUNTIMES, trim_ws
 from skein.functions.timefn import day_of
 from skein.llm.bitmap import BITS, bitmap, in_bitmap, rows_with
 from skein.llm.merkle import ACKNOWLEDGED
-from skein.runtime import cut, hot_keys, ship, skew_lookup
+from skein.runtime import cut, ship, skew_lookup
 
 SHARE = 0.7
 #: Sizes of texts fall into classes; each class begins at so many times the one before.
@@ -49,8 +49,8 @@ BLOCK = 4096
 PASSAGE = 3
 #: Evaluation texts of a shard, and training texts that one task of a shard scans (about).
 SHARD, SCANNED = 64, 1024
-#: Parts of the copies of a text that a large share of the rows holds.
-SALTS = 64
+#: The copies of a text meet its links in parts of about so many.
+COPIES = 4096
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -342,20 +342,22 @@ def scanned(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     shards = max(1, -(-eids.count() // SHARD))
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int").alias("shard")
     routed = cut(pairs.select(at("eid"), F.col("tid").alias("id")).distinct())
-    parts = routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SCANNED).cast("int").alias("parts"))
-    hot = routed.groupBy("shard").count().where(F.col("count") * 1000 >= F.lit(routed.count())).select("shard")
-    texts = cut(rows_with(rows.select("id", "text"), eids.select(F.col("eid").alias("id")).union(routed.select("id")).distinct(), "id").dropDuplicates(["id"]))
-    train = skew_lookup(routed, parts, "shard", hot, "inner").select("shard", F.pmod(F.xxhash64("id", F.lit(1)), "parts").cast("int").alias("part"), "id", F.lit(True).alias("train"))
-    ev = eids.select(at("eid"), F.col("eid").alias("id")).join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", F.lit(False).alias("train"))
-    # an id can be routed to many shards, and its text is met once for each
-    mine = skew_lookup(train.unionByName(ev), texts, "id", how="inner")
+    # shards that many training texts reach are split by them
+    split = cut(routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SCANNED).cast("int").alias("parts")).where("parts > 1"))
+    parts = F.coalesce("parts", F.lit(1))
+    train = routed.join(split, "shard", "left").select("shard", F.pmod(F.xxhash64("id", F.lit(1)), parts).cast("int").alias("part"), "id", F.lit(True).alias("train"))
+    ev = eids.select(at("eid"), F.col("eid").alias("id")).join(split, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "id", F.lit(False).alias("train"))
+    both = cut(train.unionByName(ev))
+    texts = rows_with(rows.select("id", "text"), both.select("id").distinct(), "id").dropDuplicates(["id"])
+    mine = both.join(texts, "id")
     return mine.groupBy("shard", "part").applyInPandas(_scan, "eid string, tid string, share double, coverage double")
 
 
 def linked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, members): eid, tid, share, coverage of linked texts, each under one of its ids, and the ids of each text.
+    """(links, members, copied): eid, tid, share, coverage of linked texts, each under one of its ids, and the ids of each text.
 
-    members: id, split, runtime, train, one (the id its text goes by on its side).
+    members: id, split, runtime, train, one (the id its text goes by on its side), parts; copied: train, one, _parts of texts
+    with more than COPIES copies.
     """
     counts = _counts(rows)
     ev = cut(_signed(rows.where("split != 'train'"), None, counts))
@@ -373,24 +375,28 @@ def linked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     ids = pairs.join(named[False].select(F.col("r1").alias("er"), F.col("one").alias("eid")), "er").join(named[True].select(F.col("r1").alias("tr"), F.col("one").alias("tid")), "tr")
     same = named[False].withColumnRenamed("one", "eid").join(named[True].withColumnRenamed("one", "tid"), text)
     links = cut(scanned(cut(ids.select("eid", "tid").unionByName(same.select("eid", "tid"))), rows))
-    parts = []
+    parts, copied = [], []
     for train, signed in ((True, tr), (False, ev)):
-        big = signed.groupBy(*text).agg(F.min("id").alias("one"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+        big = signed.groupBy(*text).agg(F.min("id").alias("one"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
         m = signed.select("id", "split", "runtime", *text).join(big, text, "left")
-        parts.append(m.select("id", "split", "runtime", F.lit(train).alias("train"), F.coalesce("one", "id").alias("one")))
-    return links, parts[0].unionByName(parts[1])
+        parts.append(m.select("id", "split", "runtime", F.lit(train).alias("train"), F.coalesce("one", "id").alias("one"), F.ceil(F.coalesce("_n", F.lit(1)) / COPIES).cast("int").alias("parts")))
+        copied.append(big.where(F.col("_n") > COPIES).select(F.lit(train).alias("train"), "one", F.ceil(F.col("_n") / COPIES).cast("int").alias("_parts")))
+    return links, parts[0].unionByName(parts[1]), copied[0].unionByName(copied[1])
 
 
 def pairs_of(rows: DataFrame) -> DataFrame:
-    """id_a, id_b of all rows whose texts are linked; a text with very many copies meets its links in SALTS parts."""
-    links, members = linked(rows)
-    hot = hot_keys(members, "one").select("one", F.lit(True).alias("_hot"))
+    """id_a, id_b of all rows whose texts are linked."""
+    links, members, copied = linked(rows)
     p = links.select("eid", "tid")
+    many = cut(copied)
+    split = bool(many.take(1))  # texts with many copies meet their links in parts
     for side, train in (("eid", False), ("tid", True)):
-        mine = members.where(F.col("train") == F.lit(train)).join(F.broadcast(hot), "one", "left")
-        mine = mine.select(F.col("one").alias(side), F.col("id").alias(side[0]), F.when(F.col("_hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)).alias("_s"))
-        every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-        p = p.join(F.broadcast(hot.withColumnRenamed("one", side)), side, "left").withColumn("_s", F.explode(every)).drop("_hot").join(mine, [side, "_s"]).drop("_s")
+        mine = members.where(F.col("train") == F.lit(train)).select(F.col("one").alias(side), F.col("id").alias(side[0]), F.pmod(F.xxhash64("id"), "parts").cast("int").alias("_s"))
+        if split:
+            p = p.join(many.where(F.col("train") == F.lit(train)).select(F.col("one").alias(side), "_parts"), side, "left")
+            p = p.withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts").join(mine, [side, "_s"]).drop("_s")
+        else:
+            p = p.join(mine.drop("_s"), side)
     p = p.where("e != t")
     return p.select(F.least("e", "t").alias("id_a"), F.greatest("e", "t").alias("id_b")).distinct()
 
@@ -401,7 +407,7 @@ def found(training: DataFrame, split_days: DataFrame, goals: DataFrame) -> DataF
 
 def report(rows: DataFrame, table: str) -> DataFrame:
     """table, split, runtime, records, overlapping, mean coverage of the overlapping ones."""
-    links, members = linked(rows)
+    links, members, _ = linked(rows)
     best = links.groupBy(F.col("eid").alias("one")).agg(F.max("coverage").alias("coverage"))
     ev = skew_lookup(members.where("not train"), best, "one")
     rt = F.when(F.col("runtime").isin(*RUNTIMES), F.col("runtime")).otherwise(F.lit("other"))

@@ -220,9 +220,11 @@ def test_overlaps_against_brute_force(spark):
 
 
 def test_overlaps_of_a_large_group_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(overlap, "BLOCK", 8)
+    for name, few in (("BLOCK", 8), ("SCANNED", 16), ("COPIES", 4)):
+        monkeypatch.setattr(overlap, name, few)
     base = [f"word{i}" for i in range(10)]
     side = [(f"{s[1]}{i:03d}", s, " ".join([*base, f"own{s}{i}"])) for s, n in (("train", 280), ("test", 12)) for i in range(n)]
+    side += [(f"{s[1]}c{i}", s, " ".join(base)) for s in ("train", "test") for i in range(9)]
     side += [(f"{s[1]}x{i}", s, " ".join([*base[:6], f"far{s}{i}", f"off{s}{i}"])) for s in ("train", "test") for i in range(3)]
     df = spark.createDataFrame([(i, s, "omp", t) for i, s, t in side], "id string, split string, runtime string, text string")
     want = brute(side)
