@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,15 +151,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def signatures(texts: list[str], known: dict[str, int], held: np.ndarray | None, met: set[tuple[int, int]], counts: np.ndarray) -> dict[str, np.ndarray | list]:
-    """For each text with words: its place, r1, r2 (hashes of its word sequence), n (distinct words), two sketches, keys.
+def signatures(texts: list[str], known: dict[str, int], held: np.ndarray | None, met: set[tuple[int, int]], counts: np.ndarray) -> dict[str, np.ndarray | tuple]:
+    """For each text with words: its place, r1, r2 (hashes of its word sequence), n (distinct words), two sketches, keys
+    (all in a row, with where each text's begin).
 
     held: bitmap of the evaluation keys, for training texts; keys it doesn't hold are dropped. Texts met before have none.
     """
     h, sizes = _flat(texts, known)
     full = np.flatnonzero(sizes)
     if not len(full):
-        return {k: [] for k in ("at", "r1", "r2", "n", "sketch", "sketch2", "keys")}
+        none = np.zeros(0, np.int64)
+        return {k: none for k in ("at", "r1", "r2", "n", "sketch", "sketch2")} | {"keys": (np.zeros(1, np.int64), none)}
     sizes = sizes[full]
     doc = np.repeat(np.arange(len(full)), sizes)
     start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -190,8 +193,8 @@ def signatures(texts: list[str], known: dict[str, int], held: np.ndarray | None,
     once = np.ones(len(key), bool)
     once[1:] = (key[1:] != key[:-1]) | (where[1:] != where[:-1])
     where, key = where[once], key[once]
-    cuts = np.searchsorted(where, np.arange(len(full) + 1)).tolist()
-    return {"at": full, "r1": r1, "r2": r2, "n": n, "sketch": sketches[0], "sketch2": sketches[1], "keys": [key[x:y] for x, y in zip(cuts, cuts[1:])]}
+    cuts = np.searchsorted(where, np.arange(len(full) + 1))
+    return {"at": full, "r1": r1, "r2": r2, "n": n, "sketch": sketches[0], "sketch2": sketches[1], "keys": (cuts, key)}
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
@@ -232,15 +235,16 @@ def _signed(rows: DataFrame, bits: np.ndarray | None, counts: np.ndarray) -> Dat
     """id, split, runtime, r1, r2, n, sketches, keys; keys only once for the copies a task meets, and only held ones."""
     load = ship(rows.sparkSession, (bits, counts))
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (held, counted), known, met = load(), {}, set()
         for b in batches:
-            got = signatures(list(b["text"]), known, held, met, counted)
-            f = b[["id", "split", "runtime"]].iloc[got.pop("at")].reset_index(drop=True)
-            yield f.assign(**{k: pd.Series(v, dtype="object" if k == "keys" else "int64") for k, v in got.items()})
+            got = signatures(b.column("text").to_pylist(), known, held, met, counted)
+            at, (offsets, keys) = pa.array(got.pop("at")), got.pop("keys")
+            out = {k: b.column(k).take(at) for k in ("id", "split", "runtime")} | {k: pa.array(v, pa.int64()) for k, v in got.items()}
+            yield pa.RecordBatch.from_pydict(out | {"keys": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys, pa.int64()))})
 
     schema = "id string, split string, runtime string, r1 long, r2 long, n long, sketch long, sketch2 long, keys array<long>"
-    return rows.select("id", "split", "runtime", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(sign, schema)
+    return rows.select("id", "split", "runtime", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(sign, schema)
 
 
 def _keys(signed: DataFrame, side: str) -> DataFrame:
@@ -369,15 +373,16 @@ def linked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = bitmap(ev.select(F.explode(slots("keys")).alias("slot")))
     tr = cut(_signed(rows.where("split = 'train'"), held, counts))
     text = ["r1", "r2"]
-    named = {True: tr.groupBy(*text).agg(F.min("id").alias("one")), False: ev.groupBy(*text).agg(F.min("id").alias("one"))}
+    # each text of a side once, under its smallest id
+    named = {train: cut(x.groupBy(*text).agg(F.min("id").alias("one"), F.count(F.lit(1)).alias("_n"))) for train, x in ((True, tr), (False, ev))}
     pairs = cut(candidates(ev, tr))
     # equal hashes name all texts that have them; the automata decide
     ids = pairs.join(named[False].select(F.col("r1").alias("er"), F.col("one").alias("eid")), "er").join(named[True].select(F.col("r1").alias("tr"), F.col("one").alias("tid")), "tr")
-    same = named[False].withColumnRenamed("one", "eid").join(named[True].withColumnRenamed("one", "tid"), text)
+    same = named[False].select(*text, F.col("one").alias("eid")).join(named[True].select(*text, F.col("one").alias("tid")), text)
     links = cut(scanned(cut(ids.select("eid", "tid").unionByName(same.select("eid", "tid"))), rows))
     parts, copied = [], []
     for train, signed in ((True, tr), (False, ev)):
-        big = signed.groupBy(*text).agg(F.min("id").alias("one"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        big = named[train].where("_n > 1")
         m = signed.select("id", "split", "runtime", *text).join(big, text, "left")
         parts.append(m.select("id", "split", "runtime", F.lit(train).alias("train"), F.coalesce("one", "id").alias("one"), F.ceil(F.coalesce("_n", F.lit(1)) / COPIES).cast("int").alias("parts")))
         copied.append(big.where(F.col("_n") > COPIES).select(F.lit(train).alias("train"), "one", F.ceil(F.col("_n") / COPIES).cast("int").alias("_parts")))
