@@ -30,6 +30,11 @@ def share(part: Column, whole: Column, digits: int = 4) -> Column:
     return F.bround(F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0)), digits)
 
 
+def round_away(c: Column, digits: int = 4) -> Column:
+    """Rounded half away from zero; share() rounds half to even."""
+    return F.round(c, digits)
+
+
 def sublinear_tf(n: Column) -> Column:
     return 1 + F.log(n)
 

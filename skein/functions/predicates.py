@@ -152,6 +152,57 @@ def message_features(c: Column) -> list[Column]:
     ]
 
 
+#: Kinds of made messages whose flags follow from the kind.
+FINISHED_WORDS = ("done", "finished", "completed", "skończ", "zakończ")
+
+
+def lifecycle_features(c: Column) -> list[Column]:
+    """All nine features of a message that opens a session with a new objective."""
+    word_count, short, question, status, correction, completion = message_features(c)
+    return [F.lit(0).alias("turn_index"), F.lit(True).alias("is_first_turn"), word_count, short, question, F.lit(True).alias("has_new_objective"), status, correction, completion]
+
+
+def feature_flags(c: Column, family: Column, turn_index: Column) -> list[Column]:
+    """All nine features of a message made for a family at a later turn: the family sets what its words can't."""
+    word_count, short, question, *_ = message_features(c)
+    finished = family.startswith("finish_") | (family == "completion_negative") | contains_any(F.lower(c), FINISHED_WORDS)
+    return [
+        turn_index.alias("turn_index"), F.lit(False).alias("is_first_turn"), word_count, short, question, (family == "start_switch").alias("has_new_objective"), family.startswith("ignore_").alias("has_status"),
+        (family == "continue_correction").alias("has_correction"), finished.alias("has_completion"),
+    ]
+
+
+def strict_decision_ok(answer: Column, legacy_title: bool = False) -> Column:
+    """Contract of a decision as text: an object of exactly the four string keys; a title only at a start, where the old
+    form of three to seven words is let through if legacy_title is set. Refs aren't compared with candidates."""
+    v = F.try_parse_json(first_json_object(trim_ws(answer)))
+    keys = F.schema_of_variant(v) == "OBJECT<action: STRING, goal_ref: STRING, lifecycle_evidence: STRING, title: STRING>"
+    get = lambda k: F.try_variant_get(v, f"$.{k}", "string")
+    d = F.struct(*[get(k).alias(k) for k in ("action", "goal_ref", "lifecycle_evidence", "title")])
+    words = F.when(trim_ws(d["title"]) == "", F.lit(0)).otherwise(F.size(F.split(collapse_ws(d["title"]), " ")))
+    title = F.when(d["action"] == "startGoal", (words == 0) | (words.between(3, 7) & F.lit(legacy_title))).otherwise(d["title"] == "")
+    return F.coalesce(keys & decision_ok(d) & title, F.lit(False))
+
+
+def existing_refs(candidates: Column) -> Column:
+    """Refs that an answer may name for this request: those of its candidates, without the one for a new goal."""
+    return F.filter(F.transform(candidates, lambda c: c["ref"]), lambda r: r != "NEW_GOAL")
+
+
+def one_message(messages: Column, role: str) -> Column:
+    """Content of the only message of a role; null where there is none or more than one."""
+    of = F.filter(messages, lambda m: m["role"] == role)
+    return F.when(F.size(of) == 1, of[0]["content"])
+
+
+def rejection_reason(target: Column, source: Column) -> Column:
+    """Why source can't stand for target (see valid_source): the first of blank, same, length and anchors; null if it can."""
+    t, s = trim_ws(target), trim_ws(source)
+    ratio = F.length(s) / F.greatest(F.lit(1), F.length(t))
+    lost = F.size(F.array_except(anchors(t), anchors(s))) > 0
+    return F.when(F.coalesce(s, F.lit("")) == "", F.lit("blank")).when(s == t, F.lit("same")).when(~ratio.between(*STYLE_RATIO), F.lit("length")).when(lost, F.lit("anchors"))
+
+
 def decision_ok(d: Column, refs: Column | None = None) -> Column:
     """Contract of a decision struct (action, goal_ref, lifecycle_evidence); refs restricts goal_ref where given."""
     a, r, e = d["action"], d["goal_ref"], d["lifecycle_evidence"]

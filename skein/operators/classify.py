@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from skein.operators import features
 from skein.operators.splits import folds
 from skein.runtime import cut
+from skein.sources import files
 
 MAX_ITER, TOL = 100, 1e-6
 
@@ -48,21 +48,18 @@ class TextClassifier:
         return self.model.transform(both).select("doc", F.element_at(label, best.cast("int")).alias("predicted"), F.array_max(p).alias("probability"))
 
     def save(self, folder: str, metrics: dict) -> None:
-        """Model first, then the metrics, so that metrics never name a model that isn't there."""
-        os.makedirs(folder, exist_ok=True)
-        self.model.write().overwrite().save(f"file://{os.path.abspath(folder)}/model")
-        self.idf.join(self.vocabulary, "term").write.mode("overwrite").parquet(f"file://{os.path.abspath(folder)}/vocabulary")
-        with open(f"{folder}/metrics.json", "w", encoding="utf-8") as f:
-            json.dump(metrics | {"classes": self.classes}, f, sort_keys=True)
+        """Model first, then the metrics, so that metrics never name a model that isn't there. Any file system will do."""
+        self.model.write().overwrite().save(f"{folder}/model")
+        self.idf.join(self.vocabulary, "term").write.mode("overwrite").parquet(f"{folder}/vocabulary")
+        files.write_text(self.idf.sparkSession, f"{folder}/metrics.json", json.dumps(metrics | {"classes": self.classes}, sort_keys=True))
 
     @classmethod
     def load(cls, spark, folder: str) -> TextClassifier:
         from pyspark.ml.classification import LogisticRegressionModel
 
-        with open(f"{folder}/metrics.json", encoding="utf-8") as f:
-            classes = json.load(f)["classes"]
-        model = LogisticRegressionModel.load(f"file://{os.path.abspath(folder)}/model")
-        table = spark.read.parquet(f"file://{os.path.abspath(folder)}/vocabulary")
+        classes = json.loads(files.read_text(spark, f"{folder}/metrics.json"))["classes"]
+        model = LogisticRegressionModel.load(f"{folder}/model")
+        table = spark.read.parquet(f"{folder}/vocabulary")
         if model.numClasses != max(2, len(classes)) or model.numFeatures != table.count():
             raise ValueError("the artifact's model, classes and vocabulary don't fit together")
         return cls(table.select("term", "index"), table.select("term", "df", "idf"), classes, model)

@@ -46,7 +46,8 @@ def holdout_budget(df: DataFrame, order: list[str], budget: int = 32) -> DataFra
 
 def capped_export(df: DataFrame, keys: list[str], limit: int, per_key: int) -> DataFrame:
     """Hash-ordered sample: repeats by digest go first, then at most per_key rows of a key, then the limit."""
-    once = first_by(df, ["digest"], ["hash_key"])
+    ties = [c for c in ("goal_id",) if c in df.columns]
+    once = first_by(df, ["digest"], ["hash_key", *ties])
     return first_n(once, keys, ["hash_key"], per_key).drop("rank").orderBy("hash_key").limit(limit)
 
 
@@ -73,16 +74,39 @@ def accepted(df: DataFrame, intended: str, reviewed: str) -> tuple[DataFrame, Da
     return df.where(agree), moved
 
 
-def merge_proposals(df: DataFrame, most_values: int = 8, top: int = 8) -> DataFrame:
-    """name, support, vals (first ones, in order, without repeats) of proposals (name, ord, value), best supported first.
+def merge_proposals(df: DataFrame, most_values: int = 8, top: int = 8, most_evidence: int = 12) -> DataFrame:
+    """name, support, vals (first ones, in order, without repeats) of proposals (name, ord, value), best supported first;
+    where proposals carry evidence or a description, also evidence (likewise) and the first description that isn't blank.
 
-    Each value's first place is found before values of a name are gathered, and only its first `most_values` are.
+    Each value's first place is found before values of a name are gathered, and only its first ones are.
     """
-    support = df.groupBy("name").agg(F.count(F.lit(1)).alias("support"))
-    firsts = df.where("value is not null").groupBy("name", "value").agg(F.min("ord").alias("ord"))
-    few = first_n(firsts, ["name"], ["ord", "value"], most_values)
-    values = few.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("v")).select("name", F.transform("v", lambda x: x["value"]).alias("vals"))
-    return support.join(values, "name", "left").orderBy(F.desc("support"), "name").limit(top)
+
+    def firsts(column: str, most: int, out: str) -> DataFrame:
+        few = first_n(df.where(F.col(column).isNotNull()).groupBy("name", column).agg(F.min("ord").alias("ord")), ["name"], ["ord", column], most)
+        return few.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("rank", column))).alias("v")).select("name", F.transform("v", lambda x: x[column]).alias(out))
+
+    out = df.groupBy("name").agg(F.count(F.lit(1)).alias("support")).join(firsts("value", most_values, "vals"), "name", "left")
+    if "evidence" in df.columns:
+        out = out.join(firsts("evidence", most_evidence, "evidence"), "name", "left")
+    if "description" in df.columns:
+        out = out.join(df.where(F.trim("description") != "").groupBy("name").agg(F.min_by("description", "ord").alias("description")), "name", "left")
+    return out.orderBy(F.desc("support"), "name").limit(top)
+
+
+def with_literals(df: DataFrame, rows: list[tuple]) -> DataFrame:
+    """df and rows written by hand, in its columns."""
+    return df.unionByName(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def best_candidate(candidates: Column) -> Column:
+    """The candidate with the highest score (null counts as 0), the first of equals: among those of the same session if
+    there are any, never the one for a new goal."""
+    old = F.filter(candidates, lambda c: ~F.coalesce(c["ref"] == "NEW_GOAL", F.lit(False)))
+    same = F.filter(old, lambda c: F.coalesce(c["same_session"], F.lit(False)))
+    pool = F.when(F.size(same) > 0, same).otherwise(old)
+    score = lambda c: F.coalesce(c["score"], F.lit(0.0))
+    most = F.array_max(F.transform(pool, score))
+    return F.get(F.filter(pool, lambda c: score(c) == most), F.lit(0))
 
 
 def verdict_join(predictions: DataFrame, verdicts: DataFrame) -> DataFrame:

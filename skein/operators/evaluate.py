@@ -51,15 +51,17 @@ def audit(rows: DataFrame, by: list[str], allowed: int = 50) -> DataFrame:
 
 
 def decision_metrics(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Accuracies of a predicted against a target decision (structs `target`, `prediction`, `valid`)."""
+    """Accuracies of a predicted against a target decision (structs `target`, `prediction`, `valid`); an invalid prediction
+    is right in nothing. exact_json compares all fields, the target with an empty title."""
     t, p = F.col("target"), F.col("prediction")
-    same = lambda k: F.coalesce(t[k] == p[k], F.lit(False))
+    same = lambda k: F.coalesce(F.col("valid") & (t[k] == p[k]), F.lit(False))
     joint = same("action") & same("goal_ref") & same("lifecycle_evidence")
+    exact = joint & (F.coalesce(p["title"], F.lit("")) == "")
     mean = lambda c: F.bround(F.avg(c.cast("double")), 4)
-    finish = F.coalesce(p["action"] == "finishGoal", F.lit(False))
+    finish = F.coalesce(F.col("valid") & (p["action"] == "finishGoal"), F.lit(False))
     return rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), mean(F.col("valid")).alias("valid_json"), mean(same("action")).alias("action_accuracy"), mean(same("goal_ref")).alias("goal_ref_accuracy"),
-        mean(same("lifecycle_evidence")).alias("evidence_accuracy"), mean(joint).alias("joint_accuracy"), share(F.count_if(finish & (t["action"] == "finishGoal")), F.count_if(finish)).alias("finish_precision"),
+        F.count(F.lit(1)).alias("n"), mean(F.col("valid")).alias("valid_json"), mean(same("action")).alias("action_accuracy"), mean(same("goal_ref")).alias("goal_ref_accuracy"), mean(same("lifecycle_evidence")).alias("evidence_accuracy"),
+        mean(joint).alias("joint_accuracy"), mean(exact).alias("exact_json"), share(F.count_if(finish & (t["action"] == "finishGoal")), F.count_if(finish)).alias("finish_precision"),
     )
 
 
@@ -93,6 +95,31 @@ def chrf_scores(pairs: DataFrame, ident: str, reference: str, candidate: str) ->
     return total.select(ident, (2 * F.col("both") / (F.col("a") + F.col("b"))).alias("chrf"))
 
 
+def style_audit(verdicts: DataFrame) -> DataFrame:
+    """Means of each candidate, the student's gain and delta, and whether all gates hold, in one row.
+
+    verdicts: id, candidate (base or student), semantic_fidelity, voice_match, ai_boilerplate, passed.
+    """
+    mean = lambda who, c: F.avg(F.when(F.col("candidate") == who, F.col(c).cast("double"))).alias(f"{who}_{c}")
+    m = verdicts.agg(*[mean(who, c) for who in ("base", "student") for c in ("semantic_fidelity", "voice_match", "ai_boilerplate", "passed")])
+    m = m.withColumn("voice_gain", F.col("student_voice_match") - F.col("base_voice_match")).withColumn("semantic_delta", F.col("student_semantic_fidelity") - F.col("base_semantic_fidelity"))
+    named = {"semantic_fidelity": "student_semantic_fidelity", "voice_match": "student_voice_match", "pass_rate": "student_passed", "boilerplate": "student_ai_boilerplate", "voice_gain": "voice_gain", "semantic_delta": "semantic_delta"}
+    ok = F.lit(True)
+    for rule, (op, limit) in STYLE_GATES.items():
+        c = F.col(named[rule])
+        ok = ok & F.coalesce(c >= limit if op == ">=" else c <= limit, F.lit(False))
+    return m.select(*[F.bround(c, 4).alias(c) for c in m.columns], ok.alias("gates_hold"))
+
+
+def similarity_gain(pairs: DataFrame, ident: str, reference: str, base: str, student: str) -> DataFrame:
+    """base, student, gain: mean similarity to a reference text of two candidates, over the rows that have all three."""
+    whole = pairs.where(F.col(reference).isNotNull() & F.col(base).isNotNull() & F.col(student).isNotNull())
+    mean = lambda c: chrf_scores(whole, ident, reference, c).agg(F.avg("chrf").alias(c))
+    both = mean(base).join(mean(student), how="cross")  # one row each
+    b, s = F.col(base), F.col(student)
+    return both.select(F.bround(b, 4).alias("base"), F.bround(s, 4).alias("student"), F.bround(s - b, 4).alias("gain"))
+
+
 def gates(values: dict[str, float], rules: dict[str, tuple[str, float]]) -> list[str]:
     """Names of the rules (name: operator, limit) that the values break."""
     tests = {">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, "==": lambda a, b: a == b}

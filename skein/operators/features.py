@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from skein.functions.numbers import smooth_idf, sublinear_tf
 from skein.functions.text import tokens
+from skein.runtime import HOT_SHARE, cut, ensure_checkpoint_dir, prefix_sums, skew_lookup
 
 
 def ngrams(words: Column, most: int = 2) -> Column:
@@ -39,41 +44,46 @@ def inverse_frequency(counts: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def weights(counts: DataFrame, idf: DataFrame) -> DataFrame:
-    """doc, term, weight with unit length per document; terms outside the vocabulary are dropped before that."""
-    raw = counts.join(idf.select("term", "idf"), "term").select("doc", "term", (sublinear_tf(F.col("n")) * F.col("idf")).alias("w"))
-    norm = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return raw.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("_norm")).alias("weight"))
+    """doc, term, weight with unit length per document; terms outside the vocabulary are dropped before that.
+
+    A term can stand in every document: rows of terms that make up a large share of all meet a broadcast of the few.
+    """
+    total = idf.agg(F.sum("df").alias("_all"))  # one row
+    hot = idf.join(F.broadcast(total), F.col("df") * HOT_SHARE >= F.col("_all")).select("term")  # at most HOT_SHARE by counting
+    raw = skew_lookup(counts, idf.select("term", "idf"), "term", hot, "inner").select("doc", "term", (sublinear_tf(F.col("n")) * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
+    return raw.select("doc", "term", (F.col("w") / norm).alias("weight"))
 
 
 def fit_transform(docs: DataFrame, most: int = 2) -> DataFrame:
-    counts = term_counts(docs, most)
-    return weights(counts, inverse_frequency(counts, docs))
+    counts = cut(term_counts(docs, most))  # texts are split once
+    return weights(counts, cut(inverse_frequency(counts, docs)))
 
 
 def transform(fitted: DataFrame, docs: DataFrame, most: int = 2) -> DataFrame:
     """Weights of docs by the vocabulary and frequencies of `fitted` (doc, text)."""
-    return weights(term_counts(docs, most), inverse_frequency(term_counts(fitted, most), fitted))
+    return weights(term_counts(docs, most), cut(inverse_frequency(term_counts(fitted, most), fitted)))
 
 
 def vectors(weighted: DataFrame, vocabulary: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-    """doc, features (sparse vector) by a dense index of the vocabulary (term, index); docs without terms get a zero vector."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+    """doc, features (sparse vector) by a dense index of the vocabulary (term, index); docs without terms get a zero vector.
+
+    The parts of the vectors are written as columns and read back as vectors, so that no row passes through Python.
+    """
+    from pyspark.ml.linalg import VectorUDT
 
     size = vocabulary.count()
     pairs = weighted.join(vocabulary, "term").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(F.col("index").cast("int").alias("i"), F.col("weight").alias("v")))).alias("p"))
     if docs is not None:
         pairs = docs.join(pairs, "doc", "left")
-
-    @F.udf(VectorUDT())
-    def build(p):
-        return SparseVector(size, [x["i"] for x in p or []], [x["v"] for x in p or []])
-
-    return pairs.select("doc", build("p").alias("features"))
+    spark = weighted.sparkSession
+    part = lambda k, kind: F.coalesce(F.transform("p", lambda x: x[k]), F.array().cast(f"array<{kind}>")).alias({"i": "indices", "v": "values"}[k])
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    pairs.select("doc", F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), part("i", "int"), part("v", "double")).alias("features")).write.parquet(folder)
+    return spark.read.schema(T.StructType([pairs.schema["doc"], T.StructField("features", VectorUDT())])).parquet(folder)
 
 
 def vocabulary(counts: DataFrame) -> DataFrame:
     """term, index in lexicographic order, from 0; positions by ranges of terms, not by one sorting task."""
-    from skein.runtime import prefix_sums
-
     terms = counts.select("term").distinct().withColumn("_g", F.lit(0)).withColumn("_one", F.lit(1)).withColumn("_b", F.conv(F.rpad(F.substring(F.hex(F.encode(F.substring("term", 1, 3), "utf-8")), 1, 6), 6, "0"), 16, 10).cast("long"))
     return prefix_sums(terms, ["_g"], ["term"], "_one", "_b", "index").select("term", "index")

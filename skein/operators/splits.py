@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.functions.numbers import shuffle_key
+from skein.runtime import row_numbers
 
 
 def ranked(df: DataFrame, group: str, ident: str, seed: int) -> DataFrame:
@@ -57,8 +58,35 @@ def oversample(df: DataFrame, bucket: str, floors: dict[str, int], ident: str) -
 
 
 def batches(df: DataFrame, size: int, order: list[str]) -> DataFrame:
-    """Adds batch: consecutive groups of `size` rows in the given order (for reviewer files, which are small by design)."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size))
+    """Adds batch: consecutive groups of `size` rows in the given order."""
+    return row_numbers(df, order, "_at").withColumn("batch", F.floor(F.col("_at") / size)).drop("_at")
+
+
+def slice_sizes(counts: dict[str, int], n_test: int) -> dict[str, int]:
+    """Rows that each class gives to a slice of n_test: its share, rounded half up, at least one and never all; then single
+    rows move, from the largest class that can give or take one (the last of equals), until the sum is right."""
+    total = sum(counts.values())
+    take = {c: min(max(int(n * n_test / max(1, total) + 0.5), 1), max(n - 1, 1)) for c, n in sorted(counts.items())}
+    while (have := sum(take.values())) != n_test:
+        step = 1 if have < n_test else -1
+        able = [c for c in take if (take[c] + 1 < counts[c] if step > 0 else take[c] > 1)]
+        if not able:
+            break
+        take[max(able, key=lambda c: (counts[c], c))] += step
+    return take
+
+
+def stratified_slice(labels: DataFrame, n_test: int, seed: int, group: str = "value", ident: str = "session_id") -> DataFrame:
+    """Adds side (validation or train) with n_test rows of all classes together where the classes allow it."""
+    counts = {r[group]: r["count"] for r in labels.groupBy(group).count().collect()}  # a handful of classes
+    take = slice_sizes(counts, n_test)
+    k = F.element_at(F.create_map(*[x for c, n in take.items() for x in (F.lit(c), F.lit(n))]), F.col(group)) if take else F.lit(0)
+    return ranked(labels, group, ident, seed).withColumn("side", F.when(F.col("rank") <= k, F.lit("validation")).otherwise(F.lit("train"))).drop("rank", "n")
+
+
+def hash_first(df: DataFrame, text: str, n: int = 256) -> DataFrame:
+    """The first n rows in the order of their text's SHA-256."""
+    return df.withColumn("_h", F.sha2(text, 256)).orderBy("_h", *df.columns).limit(n).drop("_h")
 
 
 def round_robin(sources: DataFrame, families: dict[str, list[str]], per_family: int, seed: int, ident: str) -> DataFrame:

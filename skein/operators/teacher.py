@@ -66,6 +66,10 @@ def audit_prompt(message: Column, goal: Column, student: Column) -> Column:
     return F.concat_ws("\n", F.concat(F.lit("Message: "), message), F.concat(F.lit("Label: "), goal), F.concat(F.lit("Student: "), student))
 
 
+def review_prompt(text: Column, value: Column, verdict: Column) -> Column:
+    return F.concat(F.lit("Label: "), value, F.lit("\nA first reviewer found it "), verdict, F.lit(". Is the label sensible, and the transcript clear enough? Answer sensible or nonsensical.\n"), F.substring(text, 1, 12_000))
+
+
 def verdicts(answers: DataFrame, ident: str, values: list[str]) -> DataFrame:
     """ident, status (ok, rejected, failed), value, error."""
     v = parse_answer(F.col("answer"), values)["value"]
@@ -73,7 +77,7 @@ def verdicts(answers: DataFrame, ident: str, values: list[str]) -> DataFrame:
     return answers.select(ident, status.alias("status"), v.alias("value"), "error")
 
 
-def autolabel(sessions: DataFrame, values: list[str], teacher: Teacher, reviewer: Teacher | None = None, aspect: str = "topic", source: str = "brama:auto", **kw) -> DataFrame:
+def autolabel(sessions: DataFrame, values: list[str], teacher: Teacher, reviewer: Teacher | None = None, *, aspect: str, source: str, **kw) -> DataFrame:
     """Labels proposed for unlabelled sessions (session_id, text); with a reviewer only those it accepts."""
     asked = ask(sessions.select("session_id", label_prompt(F.col("text"), values).alias("prompt")), "session_id", "prompt", teacher, **kw)
     got = verdicts(asked, "session_id", values).where("status = 'ok'")
@@ -88,9 +92,11 @@ def discover(excerpts: DataFrame, teacher: Teacher, chunk: int = 5, top: int = 8
     """Aspect proposals over chunks of excerpts (ord, text), merged and ranked; answers are `name: value, value` lines."""
     parts = excerpts.groupBy(F.floor(F.col("ord") / chunk).alias("c")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.substring("text", 1, 4000).alias("t")))), lambda x: x["t"]), "\n---\n").alias("prompt"))
     answers = ask(parts.select(F.col("c").cast("string").alias("c"), "prompt"), "c", "prompt", teacher, **kw).where("error is null")
+    # a line reads name: value, value | description
     lines = answers.select(F.col("c").cast("long").alias("c"), F.posexplode(F.split("answer", "\n")).alias("i", "line")).where(F.contains("line", F.lit(":")))
     values = lines.select(F.trim(F.substring_index("line", ":", 1)).alias("name"), "c", "i", F.posexplode(F.split(F.expr("substring(line, instr(line, ':') + 1)"), ",")).alias("j", "value"))
     from skein.functions.predicates import kebab
 
     ord_ = F.col("c") * 1_000_000 + F.col("i") * 1000 + F.col("j")
-    return merge_proposals(values.select(kebab(F.col("name")).alias("name"), ord_.alias("ord"), F.trim("value").alias("value")), top=top)
+    told = F.get(F.split("value", r"\|"), F.lit(1))
+    return merge_proposals(values.select(kebab(F.col("name")).alias("name"), ord_.alias("ord"), F.trim(F.substring_index("value", "|", 1)).alias("value"), F.concat(F.lit("chunk "), F.col("c").cast("string")).alias("evidence"), F.trim(told).alias("description")), top=top)

@@ -9,10 +9,21 @@ from datetime import datetime, timezone
 EVAL_FRACTION, EVAL_SEED, MAX_FRACTION = 0.2, 20260808, 0.5
 
 
+#: Names of the text classifier; other models aren't trained here.
+BACKENDS = ("tfidf-logreg", "tfidf")
+
+
 class SpecError(ValueError):
     pass
 
 
+def backend(model: str) -> str:
+    """The backend of a model's name; unknown ones are refused."""
+    if model not in BACKENDS:
+        raise SpecError(f"'{model}' isn't a model of this engine (known: {', '.join(BACKENDS)})")
+    return BACKENDS[0]
+
+
 @dataclass
 class Scope:
     aspect: str

@@ -351,7 +351,7 @@ def wrong_by_action(spark, d):
 
 
 _PAIR = f"""(select id, split_day, runtime, action, goal_ref, evidence, case when {_bucket('id')} < 8 then action else 'ignore' end p_action, case when {_bucket("id || 'r'")} < 9 then goal_ref else 'NEW_GOAL' end p_ref,
-    case when {_bucket("id || 'e'")} < 9 then evidence else 'none' end p_evidence, {_bucket("id || 'v'")} > 0 valid from {_DEC})"""
+    case when {_bucket("id || 'e'")} < 9 then evidence else 'none' end p_evidence, case when {_bucket("id || 't'")} < 9 then '' else 'New title' end p_title, {_bucket("id || 'v'")} > 0 valid from {_DEC})"""
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -359,15 +359,16 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     t, i = F.col("target"), F.col("id")
     b = lambda s: num.hash_bucket(F.concat(i, F.lit(s)))
     p = F.struct(
-        F.when(b("") < 8, t["action"]).otherwise(F.lit("ignore")).alias("action"), F.when(b("r") < 9, t["goal_ref"]).otherwise(F.lit("NEW_GOAL")).alias("goal_ref"), F.when(b("e") < 9, t["lifecycle_evidence"]).otherwise(F.lit("none")).alias("lifecycle_evidence")
+        F.when(b("") < 8, t["action"]).otherwise(F.lit("ignore")).alias("action"), F.when(b("r") < 9, t["goal_ref"]).otherwise(F.lit("NEW_GOAL")).alias("goal_ref"), F.when(b("e") < 9, t["lifecycle_evidence"]).otherwise(F.lit("none")).alias("lifecycle_evidence"), F.when(b("t") < 9, F.lit("")).otherwise(F.lit("New title")).alias("title"),
     )
     return tables.decisions(spark, d).withColumn("prediction", p).withColumn("valid", b("v") > 0)
 
 
 def _metrics_sql(by: str) -> str:
     m = lambda c: f"round_even(avg(coalesce(({c}), false)::int), 4)"
-    return f"""select {by}, count(*) n, {m('valid')} valid_json, {m('action = p_action')} action_accuracy, {m('goal_ref = p_ref')} goal_ref_accuracy, {m('evidence = p_evidence')} evidence_accuracy,
-      {m('action = p_action and goal_ref = p_ref and evidence = p_evidence')} joint_accuracy, round_even(coalesce(count(*) filter (p_action = 'finishGoal' and action = 'finishGoal') / nullif(count(*) filter (p_action = 'finishGoal'), 0)::double, 0), 4) finish_precision from {_PAIR} group by all"""
+    return f"""select {by}, count(*) n, {m('valid')} valid_json, {m('valid and action = p_action')} action_accuracy, {m('valid and goal_ref = p_ref')} goal_ref_accuracy, {m('valid and evidence = p_evidence')} evidence_accuracy,
+      {m('valid and action = p_action and goal_ref = p_ref and evidence = p_evidence')} joint_accuracy, {m("valid and action = p_action and goal_ref = p_ref and evidence = p_evidence and p_title = ''")} exact_json,
+      round_even(coalesce(count(*) filter (valid and p_action = 'finishGoal' and action = 'finishGoal') / nullif(count(*) filter (valid and p_action = 'finishGoal'), 0)::double, 0), 4) finish_precision from {_PAIR} group by all"""
 
 
 @query(_metrics_sql("runtime"))
@@ -410,6 +411,65 @@ def invariant_histograms(spark, d):
     return tables.decisions(spark, d).select(F.col("target.lifecycle_evidence").alias("evidence"), F.coalesce(status, F.lit("none")).alias("status")).groupBy("evidence", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+_CAND = "json_extract(env, '$.candidates[*]')"
+_STATUS = f"coalesce(json_extract_string(list_filter({_CAND}, lambda c: json_extract_string(c, '$.ref') = goal_ref)[1], '$.status'), 'missing')"
+
+
+@query(f"""select kind, "value", count(*) n from (select 'open status' kind, {_STATUS} "value" from {_DEC} where evidence = 'explicit_open' union all select 'finish status', {_STATUS} from {_DEC} where action = 'finishGoal'
+    union all select 'start title words', (case when {_trim("json_extract_string(answer, '$.title')")} = '' then 0 else len(string_split({_collapse("json_extract_string(answer, '$.title')")}, ' ')) end)::varchar from {_DEC} where action = 'startGoal' and json_extract_string(answer, '$.title') is not null) group by all""")
+def invariant_counts(spark, d):
+    """Status of the candidate that open evidence and finishes name, and words of the titles of starts."""
+    t = F.col("target")
+    status = F.coalesce(F.get(F.filter("envelope.candidates", lambda c: c["ref"] == t["goal_ref"]), F.lit(0))["status"], F.lit("missing"))
+    words = F.when(trim_ws(t["title"]) == "", F.lit(0)).otherwise(F.size(F.split(collapse_ws(t["title"]), " "))).cast("string")
+    kind = lambda cond, name, value: F.when(cond, F.struct(F.lit(name).alias("kind"), value.alias("value")))
+    three = [kind(t["lifecycle_evidence"] == "explicit_open", "open status", status), kind(t["action"] == "finishGoal", "finish status", status), kind((t["action"] == "startGoal") & t["title"].isNotNull(), "start title words", words)]
+    rows = tables.decisions(spark, d).select(F.explode(F.array_compact(F.array(*three))).alias("x"))
+    return rows.groupBy("x.kind", "x.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+_STYLE = f"""(select pred_id, {_bucket("pred_id || 'sf'", 21)} / 20.0::double sf, {_bucket("pred_id || 'vm'", 21)} / 20.0::double vm, {_bucket("pred_id || 'ab'")} = 0 ab, {_bucket("pred_id || 'ok'")} > 0 ok, pred_id % 2 = 0 student from predictions)"""
+_GAIN = "avg(vm) filter (student) - avg(vm) filter (not student)"
+_DELTA = "avg(sf) filter (student) - avg(sf) filter (not student)"
+
+
+@query(f"""select round_even(avg(sf) filter (not student), 4) base_semantic_fidelity, round_even(avg(vm) filter (not student), 4) base_voice_match, round_even(avg(ab::int) filter (not student), 4) base_ai_boilerplate, round_even(avg(ok::int) filter (not student), 4) base_passed,
+    round_even(avg(sf) filter (student), 4) student_semantic_fidelity, round_even(avg(vm) filter (student), 4) student_voice_match, round_even(avg(ab::int) filter (student), 4) student_ai_boilerplate, round_even(avg(ok::int) filter (student), 4) student_passed,
+    round_even({_GAIN}, 4) voice_gain, round_even({_DELTA}, 4) semantic_delta, avg(sf) filter (student) >= 0.95 and avg(vm) filter (student) >= 0.8 and avg(ok::int) filter (student) >= 0.9 and avg(ab::int) filter (student) <= 0.08 and {_GAIN} >= 0.15 and {_DELTA} >= -0.02 gates_hold from {_STYLE}""")
+def style_audit(spark, d):
+    """Means and gates over verdicts that are drawn from hashes of the ids."""
+    b = lambda s, n=10: num.hash_bucket(F.concat(F.col("pred_id").cast("string"), F.lit(s)), n)
+    who = F.when(F.col("pred_id") % 2 == 0, F.lit("student")).otherwise(F.lit("base"))
+    v = read_table(spark, d, "predictions").select("pred_id", who.alias("candidate"), (b("sf", 21) / 20.0).alias("semantic_fidelity"), (b("vm", 21) / 20.0).alias("voice_match"), (b("ab") == 0).alias("ai_boilerplate"), (b("ok") > 0).alias("passed"))
+    return evaluate.style_audit(v)
+
+
+_FROZEN_IDS = f"(select distinct {_bare('s')} session_id from (select unnest(session_ids) s from frozen_splits))"
+
+
+@query(f"""select count(*) frozen, count(*) filter (v is null) missing_ground_truth, count(*) filter (v is not null and coalesce({_trim('t')}, '') = '') skipped_no_text, count(*) filter (v is not null and coalesce({_trim('t')}, '') <> '') usable
+    from (select f.session_id, l.value v, x.text t from {_FROZEN_IDS} f left join (select * from {_LATEST} where aspect = 'outcome') l using (session_id) left join {_TEXTS} x using (session_id) where f.session_id is not null)""")
+def frozen_holdout(spark, d):
+    """How many frozen sessions can still be scored, and why the others can't."""
+    from skein.functions.text import bare_session_id
+    from skein.plans import flows
+
+    ids = read_table(spark, d, "frozen_splits").select(F.explode("session_ids").alias("s")).select(bare_session_id(F.col("s")).alias("session_id")).where("session_id is not null")
+    return flows.frozen_holdout(ids, _latest(spark, d).where(F.col("aspect") == ASPECT), _texts(spark, d))[1]
+
+
+@query("select goal_id from goal_rows where message is not null order by sha256(message), goal_id limit 256")
+def hash_first(spark, d):
+    return splits.hash_first(read_table(spark, d, "goal_rows").where("message is not null").select("message", "goal_id"), "message").select("goal_id")
+
+
+@query()
+def stratified_slice(spark, d):
+    """A tenth of the labels of the aspect for validation, spread over its classes."""
+    l = _latest(spark, d).where((F.col("aspect") == ASPECT) & F.col("value").isNotNull())
+    return splits.stratified_slice(l.select("session_id", "value"), max(2, l.count() // 10), SEED)
+
+
 # --- curation ---------------------------------------------------------------------------------------------------------
 @query(f"select session_id, min(goal_id) goal_id, arg_min(message, goal_id) message from {_GOALS} where session_id is not null and message is not null group by all")
 def first_user_message(spark, d):
@@ -478,14 +538,6 @@ def goal_holdout_budget(spark, d):
     return curate.holdout_budget(_union(spark, d).select("goal_id", "goal", "gold"), ["goal_id"]).select("goal_id", "gold")
 
 
-@query(f"""with a as (select goal_id, session_id, sha256({_normal('message')}) digest, sha256(session_id || ':' || message) hk from {_GOALS} where message is not null and session_id is not null),
-    o as (select * from (select *, row_number() over (partition by digest order by hk, goal_id) rn from a) where rn = 1), c as (select *, row_number() over (partition by session_id order by hk) k from o)
-    select goal_id from c where k <= 6 order by hk limit 1000""")
-def humanizer_export(spark, d):
-    g = tables.goals(spark, d).where("message is not null and session_id is not null").select("goal_id", "session_id", curate.digest(F.col("message")).alias("digest"), F.sha2(F.concat_ws(":", "session_id", "message"), 256).alias("hash_key"))
-    return curate.capped_export(g, ["session_id"], 1000, 6).select("goal_id")
-
-
 @query("""select runtime, count(*) n, count(*) filter (gold) gold, count(*) filter (goal is null) without_goal, count(*) filter (goal_source = 'contract:no-task-v1') no_task, count(*) filter (reviewed_by is not null) reviewed, count(distinct message) messages from goal_rows group by all""")
 def goal_summary(spark, d):
     c = F.count_if
@@ -548,13 +600,17 @@ def proposal_merge(spark, d):
     return curate.merge_proposals(g, 3, 8)
 
 
-@query(f"""select id, json_extract_string(c, '$.ref') ref, json_extract(c, '$.score')::double score from (select id, list_sort(json_extract(env, '$.candidates[*]'), 'desc') cs,
-    list_reduce(json_extract(env, '$.candidates[*]'), lambda a, b: case when json_extract(b, '$.score')::double > json_extract(a, '$.score')::double then b else a end) c from {_DEC} where json_array_length(env, '$.candidates') > 0)""")
+_OLD = "list_filter(json_extract(env, '$.candidates[*]'), lambda c: json_extract_string(c, '$.ref') is distinct from 'NEW_GOAL')"
+_SAME = f"list_filter({_OLD}, lambda c: coalesce(json_extract_string(c, '$.same_session') = 'true', false))"
+_SCORE = "coalesce(json_extract_string({x}, '$.score')::double, 0)"
+
+
+@query(f"""select id, json_extract_string(c, '$.ref') ref, json_extract_string(c, '$.score')::double score from (select id, list_reduce(case when len({_SAME}) > 0 then {_SAME} else {_OLD} end,
+    lambda a, b: case when {_SCORE.format(x='b')} > {_SCORE.format(x='a')} then b else a end) c from {_DEC} where len({_OLD}) > 0)""")
 def candidate_pick(spark, d):
-    """The candidate with the highest score, the first one of equals."""
-    c = F.col("envelope.candidates")
-    best = F.aggregate(F.slice(c, 2, 1_000_000), c[0], lambda a, b: F.when(b["score"] > a["score"], b).otherwise(a))
-    return tables.decisions(spark, d).where(F.size(c) > 0).select("id", best.alias("b")).select("id", "b.ref", "b.score")
+    """The candidate with the highest score, of the same session if there is one."""
+    best = curate.best_candidate(F.col("envelope.candidates"))
+    return tables.decisions(spark, d).select("id", best.alias("b")).where("b is not null").select("id", "b.ref", "b.score")
 
 
 # --- functions --------------------------------------------------------------------------------------------------------
@@ -580,6 +636,19 @@ def likely_authored(spark, d):
     return read_table(spark, d, "documents").where("text is not null").select("doc_id", pred.likely_authored(F.col("text")).alias("authored"))
 
 
+_AUTHORED = rf"""length(t) between 20 and 2000 and len(string_split(regexp_replace(t, '\r?\n$', ''), chr(10))) <= 8 and not starts_with(t, '/') and not {_starts('lower(t)', pred.UNAUTHORED_PREFIXES)} and not {_has('lower(t)', pred.UNAUTHORED_FRAGMENTS)}
+    and len(list_filter(string_split({_collapse('t')}, ' '), lambda w: regexp_matches(w, '\p{{L}}'))) >= 4 and length(regexp_replace(t, '[^\p{{L}}\p{{N}}{_WS[1:-1]}]', '', 'g')) * 100 // greatest(1, length(t)) >= 65"""
+
+
+@query(f"""with a as (select goal_id, session_id, {_trim('message')} t, sha256({_normal('message')}) digest, sha256(session_id || ':' || message) hk from {_GOALS} where session_id is not null and runtime in ('omp', 'claude', 'codex', 'droid', 'kimi') and length(message) between 20 and 2000 order by hk, goal_id limit 3600),
+    o as (select * from (select *, row_number() over (partition by digest order by hk, goal_id) rn from a where {_AUTHORED}) where rn = 1), c as (select *, row_number() over (partition by session_id order by hk) k from o)
+    select goal_id from c where k <= 6 order by hk limit 300""")
+def humanizer_export(spark, d):
+    from skein.plans import flows
+
+    return flows.humanizer_export(tables.goals(spark, d), 300).select("goal_id")
+
+
 _INNER = rf"regexp_replace({_collapse(r'''regexp_extract(t, '(?s)<goal>(.*?)</goal>', 1)''')}, '\.+$', '')"
 _NW = f"(case when {_trim('g')} = '' then 0 else len(string_split({_trim('g')}, ' ')) end)"
 
@@ -590,6 +659,12 @@ def parse_goal(spark, d):
     return read_table(spark, d, "predictions").select("pred_id", pred.parse_goal(F.col("student")).alias("p")).select("pred_id", "p.kind", "p.goal")
 
 
+@query(f"select pred_id, lower({_trim('goal')}) in ({', '.join(repr(x) for x in pred.GENERIC_GOALS)}) or lower(g) in ({', '.join(repr(x) for x in pred.GENERIC_GOALS)}) generic from (select pred_id, goal, regexp_replace(goal, '</?goal/?>', '', 'g') g from predictions) where goal is not null")
+def generic_goals(spark, d):
+    g = F.col("goal")
+    return read_table(spark, d, "predictions").where("goal is not null").select("pred_id", (pred.generic_goal(trim_ws(g)) | pred.generic_goal(F.regexp_replace(g, "</?goal/?>", ""))).alias("generic"))
+
+
 # ordinal signs are letters at a word's edge; the SQL engine's \\b knows ASCII only
 _ANCHORS = r"list_distinct(regexp_extract_all(translate({c}, 'ºª', 'oa'), 'https?://\S+|\b[\w.+-]+@[\w.-]+\.[A-Za-z]{{2,}}\b|\b\d[\d.,:/%-]*\b'))"
 
@@ -607,6 +682,13 @@ def style_pair_valid(spark, d):
     return p.select("pred_id", F.coalesce(pred.valid_source(F.col("goal"), F.col("student")), F.lit(False)).alias("valid"))
 
 
+@query(f"""select reason, count(*) n from (select case when coalesce(s, '') = '' then 'blank' when s = t then 'same' when not (length(s) / greatest(1, length(t))::double between 0.65 and 2.5) then 'length'
+    when len(list_filter({_ANCHORS.format(c='t')}, lambda x: not list_contains({_ANCHORS.format(c='s')}, x))) > 0 then 'anchors' end reason from (select {_trim('goal')} t, {_trim('student')} s from predictions where goal is not null)) where reason is not null group by all""")
+def rejection_reasons(spark, d):
+    r = pred.rejection_reason(F.col("goal"), F.col("student"))
+    return read_table(spark, d, "predictions").where("goal is not null").select(r.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy("reason")
+
+
 _GRAMS = "(case when length({c}) < 3 then [{c}] else list_transform(range(1, length({c}) - 1), lambda i: substr({c}, i, 3)) end)"
 
 
@@ -617,6 +699,17 @@ def trigram_chrf(spark, d):
     return evaluate.chrf_scores(read_table(spark, d, "predictions"), "pred_id", "goal", "student").withColumn("chrf", F.round("chrf", 6))
 
 
+def _chrf_mean(a: str, b: str) -> str:
+    return f"""(with p as (select pred_id, {_GRAMS.format(c=a)} a, {_GRAMS.format(c=b)} b from predictions where goal is not null and student is not null and message is not null), x as (select pred_id, unnest(a) g, 1 s from p union all select pred_id, unnest(b), 2 from p),
+      m as (select pred_id, sum(least(na, nb)) common from (select pred_id, g, count(*) filter (s = 1) na, count(*) filter (s = 2) nb from x group by all) group by all) select avg(2 * common / (len(a) + len(b))::double) from p join m using (pred_id))"""
+
+
+@query(f"select round_even(b, 4) base, round_even(s, 4) student, round_even(s - b, 4) gain from (select {_chrf_mean('goal', 'message')} b, {_chrf_mean('goal', 'student')} s)")
+def similarity_gain(spark, d):
+    """Mean similarity to the goal of the bare message and of the student's answer, and what the student gains."""
+    return evaluate.similarity_gain(read_table(spark, d, "predictions"), "pred_id", "goal", "message", "student").select("base", "student", "gain")
+
+
 @query()
 def sequence_ratio(spark, d):
     return read_table(spark, d, "predictions").select("pred_id", F.round(num.sequence_ratio(F.col("goal"), F.col("student")), 6).alias("ratio"))
@@ -646,10 +739,24 @@ def json_object_extract(spark, d):
     return read_table(spark, d, "documents").where("text is not null").select("doc_id", pred.first_json_object(F.col("text")).alias("obj"))
 
 
-@query(f"""select goal_id, (case when {_trim('message')} = '' then 0 else len(string_split({_collapse('message')}, ' ')) end)::int word_count, (case when {_trim('message')} = '' then 0 else len(string_split({_collapse('message')}, ' ')) end) <= 12 is_short_prompt, contains(message, '?') is_question,
+@query(f"""select goal_id, 0 turn_index, true is_first_turn, true has_new_objective, (case when {_trim('message')} = '' then 0 else len(string_split({_collapse('message')}, ' ')) end)::int word_count, (case when {_trim('message')} = '' then 0 else len(string_split({_collapse('message')}, ' ')) end) <= 12 is_short_prompt, contains(message, '?') is_question,
     {_has('lower(message)', ("status", "progress", "what happened"))} has_status, {_has('lower(message)', ("wrong", "instead", "do not", "don't"))} has_correction, {_has('lower(message)', ("done", "finished", "thanks", "thank you"))} has_completion from goal_rows where message is not null""")
 def message_features(spark, d):
-    return read_table(spark, d, "goal_rows").where("message is not null").select("goal_id", *pred.message_features(F.col("message")))
+    return read_table(spark, d, "goal_rows").where("message is not null").select("goal_id", *pred.lifecycle_features(F.col("message")))
+
+
+_FAMILY = "(case action when 'finishGoal' then 'finish_topic' when 'startGoal' then 'start_switch' when 'ignore' then 'ignore_status' else 'continue_correction' end)"
+_ETEXT = "json_extract_string(env, '$.text')"
+
+
+@query(f"""select id, coalesce(json_extract(env, '$.turn_index')::bigint, 0) turn_index, false is_first_turn, (case when {_trim(_ETEXT)} = '' then 0 else len(string_split({_collapse(_ETEXT)}, ' ')) end)::int word_count,
+    (case when {_trim(_ETEXT)} = '' then 0 else len(string_split({_collapse(_ETEXT)}, ' ')) end) <= 12 is_short_prompt, contains({_ETEXT}, '?') is_question, {_FAMILY} = 'start_switch' has_new_objective, {_FAMILY} = 'ignore_status' has_status,
+    {_FAMILY} = 'continue_correction' has_correction, {_FAMILY} = 'finish_topic' or {_has(f'lower({_ETEXT})', pred.FINISHED_WORDS)} has_completion from {_DEC} where {_ETEXT} is not null""")
+def feature_flags(spark, d):
+    a = F.col("target.action")
+    family = F.when(a == "finishGoal", F.lit("finish_topic")).when(a == "startGoal", F.lit("start_switch")).when(a == "ignore", F.lit("ignore_status")).otherwise(F.lit("continue_correction"))
+    rows = tables.decisions(spark, d).where("envelope.text is not null")
+    return rows.select("id", *pred.feature_flags(F.col("envelope.text"), family, F.coalesce("envelope.turn_index", F.lit(0))))
 
 
 @query(f"""select id, coalesce(action <> 'finishGoal' and {_has("lower(json_extract_string(env, '$.text'))", pred.COMPLETION_WORDS)}, false) completion_negative,
@@ -672,6 +779,29 @@ def decision_contract(spark, d):
     return tables.decisions(spark, d).select("id", pred.decision_ok(F.col("target")).alias("ok"), F.when(refs.isNull(), F.lit(False)).otherwise(pred.decision_ok(F.col("target"), refs)).alias("ok_in_refs"), F.coalesce(F.nullif(F.size(refs), F.lit(-1)), F.lit(0)).alias("n_refs"))
 
 
+_STRICT = f"""(json_type(o) = 'OBJECT' and list_sort(json_keys(o)) = ['action', 'goal_ref', 'lifecycle_evidence', 'title'] and json_type(o, '$.action') = 'VARCHAR' and json_type(o, '$.goal_ref') = 'VARCHAR' and json_type(o, '$.lifecycle_evidence') = 'VARCHAR'
+    and json_type(o, '$.title') = 'VARCHAR' and {_OK} and case when action = 'startGoal' then {_trim("json_extract_string(o, '$.title')")} = '' or ({{legacy}} and len(string_split({_collapse("json_extract_string(o, '$.title')")}, ' ')) between 3 and 7) else json_extract_string(o, '$.title') = '' end)"""
+
+
+@query(f"select id, coalesce({_STRICT.replace('{legacy}', 'false')}, false) strict, coalesce({_STRICT.replace('{legacy}', 'true')}, false) with_title from (select *, case when json_valid(answer) then answer end o from {_DEC})")
+def strict_contract(spark, d):
+    a = F.col("answer")
+    return tables.decisions(spark, d).select("id", pred.strict_decision_ok(a).alias("strict"), pred.strict_decision_ok(a, True).alias("with_title"))
+
+
+@query(f"select id, array_to_string(list_filter({_REFS}, lambda r: r <> 'NEW_GOAL'), ' ') refs from {_DEC} where json_extract(env, '$.candidates') is not null")
+def ref_enum(spark, d):
+    """The refs that an answer to each request may name."""
+    rows = tables.decisions(spark, d).where("envelope.candidates is not null")
+    return rows.select("id", F.array_join(pred.existing_refs(F.col("envelope.candidates")), " ").alias("refs"))
+
+
+@query("select id, case when len(list_filter(messages, lambda m: m.role = 'user')) = 1 then list_filter(messages, lambda m: m.role = 'user')[1].content end is not null one_user, case when len(list_filter(messages, lambda m: m.role = 'assistant')) = 1 then list_filter(messages, lambda m: m.role = 'assistant')[1].content end is not null one_assistant from training_rows")
+def one_message(spark, d):
+    t = read_table(spark, d, "training_rows")
+    return t.select("id", *[pred.one_message(F.col("messages"), r).isNotNull().alias(f"one_{r}") for r in ("user", "assistant")])
+
+
 @query(f"""select id, '{{"action":"' || action || '","goal_ref":"' || goal_ref || '","lifecycle_evidence":"' || evidence || '","title":""}}' canonical from {_DEC}""")
 def canonical_decision(spark, d):
     t = F.col("target")

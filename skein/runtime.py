@@ -15,7 +15,10 @@ HOT_SHARE = 1000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for lineage cuts: the one the cluster names in spark.checkpoint.dir, a temporary one only where it is unset."""
+    """Folder for lineage cuts: the one the cluster names in spark.checkpoint.dir.
+
+    Only a local session, as in tests, gets a folder of its own where none is named: on a cluster the folder must be shared.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -24,6 +27,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("name a shared folder in spark.checkpoint.dir")
     own = tempfile.mkdtemp(prefix="skein-checkpoint-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -84,6 +89,12 @@ def prefix_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], value
     )
 
 
+def row_numbers(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """Adds the place of each row (from 0) in an order over all rows; no task sorts more than a range of the order."""
+    ranges = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).withColumn("_all", F.lit(0)).withColumn("_one", F.lit(1)))
+    return prefix_sums(ranges, ["_all"], order, "_one", "_range", out).drop("_all", "_one", "_range")
+
+
 def ship(spark: SparkSession, model):
     """Broadcast of a fitted model (of bounded size) with its code; the function that is returned loads it once a worker."""
     import secrets

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.sources import files
+
 
 def write_jsonl(df: DataFrame, path: str, order: list[str], partitions: int | None = None) -> None:
     """JSON lines in a given order: one file for small results, ranges of the order for large ones."""
@@ -17,10 +18,8 @@ def write_jsonl(df: DataFrame, path: str, order: list[str], partitions: int | No
 
 
 def write_report(path: str, report: dict) -> None:
-    """Whole or not at all: written beside the place and moved into it."""
-    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-        json.dump(report, f, sort_keys=True, ensure_ascii=False)
-    os.replace(f"{path}.tmp", path)
+    """Whole or not at all, on whatever file system the path names."""
+    files.write_text(SparkSession.getActiveSession() or SparkSession.builder.getOrCreate(), path, json.dumps(report, sort_keys=True, ensure_ascii=False))
 
 
 def append_new(df: DataFrame, path: str, ident: str) -> int:
@@ -41,21 +40,28 @@ def append_new(df: DataFrame, path: str, ident: str) -> int:
     return n
 
 
-def freeze_split(path: str, fraction: float, seed: int, created_at: str, session_ids: list[str], minimums_met: bool = True) -> dict:
-    """The split at path: written once, after the minimums are met, and from then on read, whatever is asked for."""
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            return json.load(f)
-    if not minimums_met:
-        raise ValueError("too few rows or classes to freeze a split")
-    split = {"fraction": fraction, "seed": seed, "created_at": created_at, "session_ids": sorted(session_ids)}
-    with open(path, "x", encoding="utf-8") as f:
-        json.dump(split, f)
-    return split
+def freeze_split(path: str, fraction: float, seed: int, created_at: str, held: DataFrame, minimums_met: bool = True) -> tuple[dict, DataFrame]:
+    """(head, session ids) of the split at path: written once, after the minimums are met, and from then on read, whatever
+    is asked for. The ids lie in a table beside the head, so their number isn't bounded by one file or the driver."""
+    spark = held.sparkSession
+    ids = f"{path}.ids"
+    if not files.exists(spark, path):
+        if not minimums_met:
+            raise ValueError("too few rows or classes to freeze a split")
+        held.select("session_id").distinct().write.mode("overwrite").parquet(ids)
+        files.write_text(spark, path, json.dumps({"fraction": fraction, "seed": seed, "created_at": created_at, "sessions": spark.read.parquet(ids).count()}), once=True)
+    return json.loads(files.read_text(spark, path)), spark.read.parquet(ids)
+
+
+#: A bundle is one document; a larger selection is written as JSON lines.
+BUNDLE_ROWS = 50_000
 
 
 def export_bundle(labels: DataFrame, aspect: str, path: str) -> None:
-    """Selected labels with their texts as one document (a bundle is small by design)."""
+    """Selected labels with their texts as one document; more than BUNDLE_ROWS of them are refused."""
+    n = labels.count()
+    if n > BUNDLE_ROWS:
+        raise ValueError(f"{n} labels are too many for a bundle (at most {BUNDLE_ROWS}): write them as JSON lines")
     rows = [r.asDict() for r in labels.select("session_id", "value", "source", "ts", "runtime", "text").orderBy("session_id").toLocalIterator()]
     write_report(path, {"schema_version": 1, "aspect": aspect, "labels": rows})
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.sources import files
+
 GOAL_ROW = "session_id string, runtime string, message string, goal string, goal_source string, gold boolean, reviewed_by string"
 TRAINING_ROW = "id string, split_day string, messages array<struct<role:string,content:string>>, metadata string"
 PREDICTION = "session_id string, message string, goal string, student string"
@@ -27,7 +28,7 @@ def read_label_store(spark: SparkSession, folder: str) -> DataFrame:
     file and line give the order of the store, for ties of ts. Null, empty and false session ids drop the record; null
     ts is empty; null runtime stays null; a missing folder gives no records.
     """
-    if not folder.startswith(("hdfs:", "s3", "file:", "gs:", "abfs")) and not os.path.isdir(folder):
+    if not files.exists(spark, folder):
         return spark.createDataFrame([], "session_id string, aspect string, ts string, file string, line long, runtime string, value string, note string, source string")
     lines = spark.read.option("wholetext", False).text(folder, pathGlobFilter="*.ndjson").select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     # within one block rows keep their order; blocks of a file are ordered by where they start
@@ -78,12 +79,10 @@ def read_reviews(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(VERDICT).option("mode", "FAILFAST").json(f"{folder}/*.jsonl")
 
 
-def artifacts(folder: str) -> list[dict]:
+def artifacts(spark: SparkSession, folder: str) -> list[dict]:
     """Metrics of each artifact below a model's folder, oldest first; the last is the active one."""
     found = []
-    for place in [folder, *(os.path.join(folder, x) for x in sorted(os.listdir(folder)))] if os.path.isdir(folder) else []:
-        file = os.path.join(place, "metrics.json")
-        if os.path.isfile(file):
-            with open(file, encoding="utf-8") as f:
-                found.append(json.load(f) | {"folder": place})
+    for place in [folder, *(f"{folder}/{x}" for x in files.folders(spark, folder))]:
+        if files.exists(spark, f"{place}/metrics.json"):
+            found.append(json.loads(files.read_text(spark, f"{place}/metrics.json")) | {"folder": place})
     return sorted(found, key=lambda m: m.get("trained_at", ""))

@@ -9,7 +9,7 @@ from skein.functions.text import bare_session_id, trim_ws
 from skein.runtime import read_table
 
 DECISION = "action string, goal_ref string, lifecycle_evidence string, title string"
-ENVELOPE = "text string, candidates array<struct<ref:string,title:string,status:string,score:double>>, turn_index long, local_day string"
+ENVELOPE = "text string, candidates array<struct<ref:string,title:string,status:string,score:double,same_session:boolean>>, turn_index long, local_day string"
 
 
 def label_records(spark: SparkSession, d: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -130,13 +131,17 @@ def test_flow_from_job_to_prediction(spark, tmp_path):
     more = recs.unionByName(store(spark, [("new", "topic", "2026-01-01", "f", 99, "omp", "good", None, "human")]))
     sided, note = flows.resolve_split(job, flows.selection(job, more, texts)[0], f"{tmp_path}/models/topic-v1", "later")
     assert sided.where("session_id = 'new'").first()["side"] == "train" and note["missing_from_selection"] == 0
-    assert flows.evaluate_job(spark, job, recs, texts, str(tmp_path), teacher.Stub(["acceptable"]))["judge"]["agreement_rate"] == 1.0
+    report = flows.evaluate_job(spark, job, recs.where("session_id != 's000'"), texts.withColumn("text", F.expr("if(session_id = 's001', ' ', text)")), str(tmp_path), teacher.Stub(["acceptable"]), teacher.Stub(["sensible"]))
+    assert report["judge"]["agreement_rate"] == 1.0 and report["second_review"]["passed"] and report["frozen"] == report["usable"] + report["missing_ground_truth"] + report["skipped_no_text"] == 6
+    assert [r["session_id"] for r in flows.infer(spark, "topic-v1", "topic", recs, texts, str(tmp_path), session="S003 ").collect()] in ([], ["s003"])
+    with pytest.raises(jobs.SpecError):
+        flows.run(jobs.job_from({"name": "x", "task": "t", "evaluator": "human", "model": "distilbert", "scope": {"aspect": "topic"}}), recs, texts, str(tmp_path))
     got = flows.infer(spark, "topic-v1", "topic", recs, texts, str(tmp_path)).collect()
     assert [(r["session_id"], r["value"]) for r in got] == [("new", "good")] and got[0]["note"].startswith("confidence=0.")
     with pytest.raises(flows.NotEnoughData):
         flows.selection(job, recs.limit(3), texts)
     assert classify.cross_validate(spark.createDataFrame(data, "doc string, label string, text string"), 1, most=2, max_iter=5) > 0.8
-    assert list(flows.info(str(tmp_path))) == ["topic-v1"]
+    assert list(flows.info(spark, str(tmp_path))) == ["topic-v1"]
 
 
 def test_job_specs():
@@ -173,8 +178,17 @@ def test_stores_and_sinks(spark, tmp_path):
     assert stores.read_label_store(spark, str(tmp_path / "none")).count() == 0
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     assert sinks.append_new(df, str(tmp_path / "t"), "id") == 2 and sinks.append_new(df.unionByName(spark.createDataFrame([(3, "c")], df.schema)), str(tmp_path / "t"), "id") == 1
-    first = sinks.freeze_split(str(tmp_path / "s.json"), 0.2, 1, "now", ["b", "a"])
-    assert sinks.freeze_split(str(tmp_path / "s.json"), 0.5, 9, "later", []) == first
+    ids = spark.createDataFrame([("b",), ("a",), ("a",)], "session_id string")
+    with pytest.raises(ValueError):
+        sinks.freeze_split(str(tmp_path / "s.json"), 0.2, 1, "now", ids, False)
+    first, held = sinks.freeze_split(str(tmp_path / "s.json"), 0.2, 1, "now", ids)
+    again, same = sinks.freeze_split(str(tmp_path / "s.json"), 0.5, 9, "later", ids.limit(0))
+    assert again == first and first["sessions"] == 2 and rows(held) == rows(same) == [("a",), ("b",)]
+    (d / "many").mkdir()
+    for k in range(6):  # several small files in one partition keep their order
+        (d / "many" / f"{k}.ndjson").write_text("".join(f'{{"session_id":"s{k}","aspect":"a","ts":"t","value":"{i}"}}\n' for i in range(50)))
+    several = stores.read_label_store(spark, str(d / "many")).coalesce(1)
+    assert {r["value"] for r in labels.latest_labels(several).collect()} == {"49"}
     sinks.write_jsonl(df, str(tmp_path / "j"), ["id"])
     m = sinks.manifest(spark, f"{tmp_path}/j/*.json").collect()
     sinks.verify_parts([(f"{tmp_path}/j/{r['path']}", r["bytes"], r["sha256"]) for r in m])
@@ -182,6 +196,8 @@ def test_stores_and_sinks(spark, tmp_path):
         sinks.verify_parts([(f"{tmp_path}/j/{m[0]['path']}", 1, "x")])
     lab = spark.createDataFrame([("s", "v", "h", "t", "omp", "text")], "session_id string, value string, source string, ts string, runtime string, text string")
     sinks.export_bundle(lab, "a", str(tmp_path / "b.json"))
+    with pytest.raises(ValueError):
+        sinks.export_bundle(spark.range(sinks.BUNDLE_ROWS + 1), "a", str(tmp_path / "big.json"))
     assert stores.read_bundle(spark, str(tmp_path / "b.json"), "a").count() == 1
     with pytest.raises(ValueError):
         stores.read_bundle(spark, str(tmp_path / "b.json"), "other")
@@ -204,9 +220,84 @@ def test_goal_and_review_flows(spark):
     assert passed and {r["verdict"]: r["n"] for r in counts.collect()}["unparseable"] == 0
     msg = [("user", '{"text": "x", "candidates": [{"ref": "g1"}]}'), ("assistant", "old")]
     t = spark.createDataFrame([("1", msg, "{}"), ("2", msg, "{}")], "id string, messages array<struct<role:string,content:string>>, metadata string")
-    good, bad = flows.lifecycle_review(t, teacher.Stub(['so {"action":"ignore","goal_ref":"g1","lifecycle_evidence":"none"}']), t.limit(0))
+    good, bad = flows.lifecycle_review(t.withColumn("metadata", F.lit('{"author": "x", "reviewedBy": "y"}')), teacher.Stub(['so {"action":"ignore","goal_ref":"g1","lifecycle_evidence":"none"}']), t.limit(0), "eval", "best", "now")
     assert good.count() == 2 and bad.count() == 0
+    assert json.loads(good.first()["metadata"]) == {"author": "x", "reviewedBy": "best", "reviewedAt": "now", "contract": flows.CONTRACT} and good.first()["split"] == "eval"
     assert flows.lifecycle_review(t, teacher.Stub(['{"action":"ignore","goal_ref":"g7","lifecycle_evidence":"none"}']))[1].count() == 2
+    two = t.limit(1).withColumn("messages", F.concat("messages", "messages"))
+    assert [r["error"] for r in flows.lifecycle_review(two, teacher.Stub(["{}"]))[1].collect()] == ["a row needs exactly one user message"]
+    for route, split in (("r", "test"), ("product/x", "train")):
+        with pytest.raises(jobs.SpecError):
+            flows.check_review(route, split, ("product",))
+    done = spark.createDataFrame([(1, "both-nonsensical")], "pred_id long, verdict string")
+    two = spark.createDataFrame([(1, "m", "g", "s"), (2, "m", "g", "s")], "pred_id long, message string, goal string, student string")
+    counts, passed = flows.goal_audit(two, teacher.Stub(["both-sensible"]), done)
+    assert not passed and {r["verdict"]: r["n"] for r in counts.collect()}["both-nonsensical"] == 1
+
+
+def test_decisions_are_measured_against_targets(spark):
+    ask = lambda a, r="g1", e="none", t="": json.dumps({"action": a, "goal_ref": r, "lifecycle_evidence": e, "title": t})
+    row = lambda i, target: (i, [("user", "{}"), ("assistant", target)])
+    kind = "id string, messages array<struct<role:string,content:string>>"
+    data = spark.createDataFrame([row("1", ask("ignore")), row("2", ask("finishGoal", e="explicit_completion")), row("3", ask("startGoal", "NEW_GOAL", t="Fix the form")), row("4", ask("ignore"))], kind)
+    p = spark.createDataFrame([("1", ask("ignore")), ("2", "so " + ask("finishGoal", "g2", "explicit_completion")), ("3", ask("startGoal", "NEW_GOAL")), ("9", ask("ignore"))], "id string, answer string")
+    m = flows.lifecycle_metrics(data, p)
+    assert (m["n"], m["valid_json"], m["action_accuracy"], m["joint_accuracy"], m["exact_json"], m["finish_precision"]) == (4, 0.75, 0.75, 0.5, 0.5, 1.0)
+    assert m["by_action"]["ignore"] == {"rows": 2, "action_accuracy": 0.5, "joint_accuracy": 0.5} and "valid_json" in m["broken_gates"]
+    with pytest.raises(ValueError):
+        flows.lifecycle_metrics(spark.createDataFrame([row("1", "{}")], kind), p)
+
+    def down(prompt):
+        raise OSError("down")
+
+    monkey = teacher.ask
+    try:
+        flows.teacher.ask = lambda *a, **k: monkey(*a, **k | {"attempts": 1})
+        with pytest.raises(RuntimeError, match="2 requests failed"):
+            flows.lifecycle_audit(spark.createDataFrame([("1", "p", True), ("2", "p", False)], "id string, prompt string, dangerous boolean"), down)
+    finally:
+        flows.teacher.ask = monkey
+
+
+def test_slices_reach_their_size(spark):
+    rng = random.Random(5)
+    for _ in range(200):
+        counts = {f"c{i}": rng.randint(2, 30) for i in range(rng.randint(1, 6))}
+        n = rng.randint(1, sum(counts.values()))
+        take = splits.slice_sizes(counts, n)
+        low, high = len(counts), sum(c - 1 for c in counts.values())
+        assert sum(take.values()) == min(max(n, low), high) and all(1 <= take[c] < counts[c] for c in counts)
+    df = spark.createDataFrame([(f"s{i}", "ab"[i % 3 == 0]) for i in range(90)], "session_id string, value string")
+    got = splits.stratified_slice(df, 10, 1)
+    assert got.where("side = 'validation'").count() == 10 and got.count() == 90
+    assert rows(got) == rows(splits.stratified_slice(df.repartition(3), 10, 1))
+
+
+def test_one_key_holds_half_of_the_rows(spark):
+    docs = spark.createDataFrame([(str(i), "the " + ("form " if i % 2 else "") + f"word{i}") for i in range(400)], "doc string, text string")
+    got = features.fit_transform(docs, 1)
+    assert got.where("term = 'the'").count() == 400 and got.count() == 400 * 2 + 200
+    norms = got.groupBy("doc").agg(F.sum(F.col("weight") ** 2).alias("s")).agg(F.min("s"), F.max("s")).first()
+    assert norms[0] == pytest.approx(1) and norms[1] == pytest.approx(1)
+    v = features.vectors(got, features.vocabulary(got), docs.select("doc").unionByName(spark.createDataFrame([("none",)], "doc string")))
+    by = {r["doc"]: r["features"] for r in v.collect()}
+    assert len(by) == 401 and by["none"].numNonzeros() == 0 and by["1"].numNonzeros() == 3 and by["1"].size == 402
+    b = splits.batches(spark.range(1000).select(F.lit("same").alias("k"), "id"), 30, ["k", "id"])
+    assert rows(b.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo")).where("batch < 33").select(F.expr("lo = batch * 30 and n = 30")).distinct()) == [(True,)]
+
+
+def test_candidates_literals_and_gains(spark):
+    c = "array<struct<ref:string,score:double,same_session:boolean>>"
+    df = spark.createDataFrame([("1", [("NEW_GOAL", 9.0, None), ("a", None, False), ("b", 0.5, None), ("d", 0.5, None)]), ("2", [("a", 0.9, False), ("b", 0.1, True)]), ("3", [("NEW_GOAL", 1.0, True)]), ("4", []), ("5", None)], f"id string, c {c}")
+    assert {r["id"]: r["r"] for r in df.select("id", curate.best_candidate(F.col("c"))["ref"].alias("r")).collect()} == {"1": "b", "2": "b", "3": None, "4": None, "5": None}
+    assert rows(curate.with_literals(spark.createDataFrame([(1, "a")], "id int, v string"), [(2, "b")])) == [(1, "a"), (2, "b")]
+    p = spark.createDataFrame([("x", 1, "v", "e1", " "), ("x", 2, "w", "e1", "second"), ("x", 3, "v", "e2", "third")], "name string, ord long, value string, evidence string, description string")
+    assert [(r["vals"], r["evidence"], r["description"]) for r in curate.merge_proposals(p).collect()] == [(["v", "w"], ["e1", "e2"], "second")]
+    g = evaluate.similarity_gain(spark.createDataFrame([(1, "abcd", "xxxx", "abcd"), (2, "abcd", None, "abcd")], "id int, r string, b string, s string"), "id", "r", "b", "s").first()
+    assert (g["base"], g["student"], g["gain"]) == (0.0, 1.0, 1.0)
+    v = spark.createDataFrame([(1, "base", 0.97, 0.5, False, True), (1, "student", 0.96, 0.9, False, True)], "id int, candidate string, semantic_fidelity double, voice_match double, ai_boilerplate boolean, passed boolean")
+    r = evaluate.style_audit(v).first()
+    assert r["gates_hold"] and r["voice_gain"] == 0.4 and r["semantic_delta"] == -0.01 and not evaluate.style_audit(v.limit(0)).first()["gates_hold"]
 
 
 def test_learning_queries_run_the_whole_job(spark, data, monkeypatch):
