@@ -14,12 +14,13 @@ repeated rows give repeated results; null ids are kept; other columns are ignore
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import sys
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -31,9 +32,13 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 _NONE = sys.maxsize
 
 
+def read_ranks(raw: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines())}
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        return read_ranks(f.read())
 
 
 def merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -85,10 +90,10 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    def __init__(self, path: str = VOCABULARY, pattern: str = PATTERN):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         import regex
 
-        self.ranks = load_ranks(path)
+        self.ranks = ranks
         self.words = regex.compile(pattern).findall
         self.seen: dict[str, list[int]] = {}
 
@@ -113,18 +118,27 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and vocabulary, kept between tasks."""
-    kept = sys.__dict__.setdefault("_kept_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+def _shipped(path: str):
+    """The vocabulary file (of the driver) goes to the executors by broadcast; each worker process keeps one encoder of it."""
+    with open(path, "rb") as f:
+        raw = f.read()
+    name, sent = hashlib.sha256(raw).hexdigest(), SparkSession.active().sparkContext.broadcast(raw)
+
+    def encoder() -> Encoder:
+        kept = sys.__dict__.setdefault("_kept_encoders", {})
+        if name not in kept:
+            kept[name] = Encoder(read_ranks(sent.value))
+        return kept[name]
+
+    return encoder
 
 
 def encode(text: Column, path: str = VOCABULARY) -> Column:
+    encoder = _shipped(path)
+
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        e = encoder(path)
+        e = encoder()
         for texts in batches:
             yield pd.Series([e.encode(t) for t in texts], dtype=object)
 
@@ -132,9 +146,11 @@ def encode(text: Column, path: str = VOCABULARY) -> Column:
 
 
 def count_tokens(text: Column, path: str = VOCABULARY) -> Column:
+    encoder = _shipped(path)
+
     @F.pandas_udf("long")
     def n(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        e = encoder(path)
+        e = encoder()
         for texts in batches:
             yield pd.Series([len(e.encode(t)) for t in texts], dtype="int64")
 

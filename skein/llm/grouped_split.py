@@ -5,11 +5,12 @@ every node hooks onto the smallest smaller neighbour, one pointer jump follows,
 the edge table shrinks until none is left. The rounds are tables in the checkpoint folder; nothing is collected.
 
 Groups carry a vector of rows per runtime. Labels are handled by rarity, the rarest outstanding label first: the groups
-that hold it, largest first, fill the splits that still need most of it. A label's groups are placed at once by running
-sums (two-level, so no task sorts them all); only groups larger than 1/HOT_SHARE of the rows, of which there are fewer
-than HOT_SHARE, are placed one by one before that.
+that hold it, largest first, fill the splits that still need most of it. Groups larger than 1/HOT_SHARE of the rows, of
+which there are fewer than HOT_SHARE, come first and one by one; a label's other groups are placed at once by running
+sums (two-level, so no task sorts them all).
 
-Defined cases: rows of training_rows without readable metadata or session form a group of their own row; authors null,
+Defined cases: rows of training_rows without readable session go with their author's other rows, and without author form a
+group of their own row; authors null,
 empty or `unknown` don't link; author handles are compared without case, blanks and a leading @; a session without any
 row in training_rows is placed by itself when labels follow their session; an empty table gives an empty result.
 """
@@ -96,22 +97,25 @@ def place(groups: DataFrame, shares: tuple[float, ...] = SHARES) -> DataFrame:
     totals = g.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in LABELS], F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
     need = {s: {x: totals[x] * p for x in LABELS} for s, p in zip(SPLITS, shares, strict=True)}
     parts: list[DataFrame] = []
-    # groups of a size that only few can have, one by one
-    large = g.where(F.col("size") * HOT_SHARE > F.lit(totals["size"]))
+    # one rule for all groups; those of a size that only few can have go first and one by one, so that the many small ones
+    # can even out what they leave
+    large = sorted(g.where(F.col("size") * HOT_SHARE > F.lit(totals["size"])).collect(), key=lambda r: (-r["size"], r["group"]))  # fewer than HOT_SHARE rows
     chosen = []
-    for r in sorted(large.collect(), key=lambda r: (-r["size"], r["group"])):  # fewer than HOT_SHARE rows
-        have = [x for x in LABELS if r[x]]
-        rare = min(have, key=lambda x: (sum(max(0.0, need[s][x]) for s in SPLITS), x))
-        best = max(SPLITS, key=lambda s: (need[s][rare], sum(need[s].values())))
-        for x in LABELS:
-            need[best][x] -= r[x]
-        chosen.append((r["group"], best))
-    parts.append(spark.createDataFrame(chosen, "group string, split string"))
     rest = g.where(F.col("size") * HOT_SHARE <= F.lit(totals["size"]))
-    outstanding = _sums(rest)
-    todo = [x for x in LABELS if outstanding[x]]
+    sums = _sums(rest)
+    while large:
+        held = {x: sums[x] + sum(r[x] for r in large) for x in LABELS if any(r[x] for r in large)}
+        rare = min(held, key=lambda x: (held[x], x))
+        for r in [r for r in large if r[rare]]:
+            best = max(SPLITS, key=lambda s: (need[s][rare], sum(need[s].values())))
+            for x in LABELS:
+                need[best][x] -= r[x]
+            chosen.append((r["group"], best))
+        large = [r for r in large if not r[rare]]
+    parts.append(spark.createDataFrame(chosen, "group string, split string"))
+    todo = [x for x in LABELS if sums[x]]
     while todo:
-        rare = min(todo, key=lambda x: (outstanding[x], x))
+        rare = min(todo, key=lambda x: (sums[x], x))
         here = rest.where(F.col(rare) > 0)
         rest = rest.where(F.col(rare) == 0)
         # largest first, then by hash; the bucket follows that order
@@ -122,7 +126,7 @@ def place(groups: DataFrame, shares: tuple[float, ...] = SHARES) -> DataFrame:
         want = {s: max(0.0, need[s][rare]) for s in SPLITS}
         if not sum(want.values()):
             want = dict(zip(SPLITS, shares, strict=True))
-        scale = outstanding[rare] / sum(want.values())
+        scale = sums[rare] / sum(want.values())
         # each split takes the stretch of the running sum that it needs; the neediest comes last and takes what is over
         ranked = sorted(SPLITS, key=lambda s: want[s])
         split, at = F.lit(ranked[-1]), sum(want[s] for s in ranked[:-1]) * scale
@@ -134,8 +138,8 @@ def place(groups: DataFrame, shares: tuple[float, ...] = SHARES) -> DataFrame:
             for x in LABELS:
                 need[r["split"]][x] -= r[x]
         parts.append(placed.select("group", "split"))
-        outstanding = _sums(rest)
-        todo = [x for x in todo if x != rare and outstanding[x]]
+        sums = _sums(rest)
+        todo = [x for x in todo if x != rare and sums[x]]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -146,8 +150,13 @@ def assign(training: DataFrame, shares: tuple[float, ...] = SHARES) -> DataFrame
     """id, session, runtime, split of each training row."""
     m = cut(members(training).where("id is not null"))
     g = session_groups(m)
-    hot = m.groupBy("session").count().where(F.col("session").isNotNull() & (F.col("count") * HOT_SHARE >= F.lit(m.count()))).select("session")
-    keyed = skew_lookup(m, g, "session", hot).withColumn("group", F.coalesce("root", F.col("session"), F.concat(F.lit("row:"), F.col("id"))))
+    # a row without session joins its author's sessions, or the author's other rows without one
+    bare = m.where("session is null and author is not null")
+    heads = m.where("session is not null and author is not null").groupBy("author").agg(F.min("session").alias("_head"))
+    joined = skew_lookup(bare, heads, "author").withColumn("node", F.coalesce("_head", F.concat(F.lit("author:"), F.col("author")))).drop("_head")
+    nodes = cut(m.where("session is not null or author is null").withColumn("node", F.col("session")).unionByName(joined))
+    hot = nodes.groupBy("node").count().where(F.col("node").isNotNull() & (F.col("count") * HOT_SHARE >= F.lit(m.count()))).select("node")
+    keyed = skew_lookup(nodes, g.withColumnRenamed("session", "node"), "node", hot).withColumn("group", F.coalesce("root", "node", F.concat(F.lit("row:"), F.col("id"))))
     keyed = cut(keyed.select("id", "session", "runtime", "group"))
     vectors = keyed.groupBy("group").agg(*[F.count_if(F.col("runtime") == x).alias(x) for x in LABELS])
     split = place(vectors, shares)

@@ -7,6 +7,9 @@ for certain, the rest is an inclusion probability. Texts of a source are ranked
 and taken in that order until the tokens still missing are reached; ranks come from sums over stretches of the order,
 so no task sorts a source.
 
+Weights are a choice beyond the method, made by the parameter full_weight: a text of fewer tokens gets proportionally
+less; with 1 all texts of a source have equal chances.
+
 Defined cases: exact copies of a text count as one, kept under the smallest doc_id with a source in the targets; null
 and empty texts, null ids and sources without target are left out; a source with a target and no text is reported with
 share 0 and the others keep their proportions; null or negative targets count as 0, null or lower max_repeats as 1;
@@ -55,12 +58,12 @@ def _scale(weights: list[tuple[float, int]], need: float, cap: int) -> float:
     return high
 
 
-def plan(texts: DataFrame, mix_targets: DataFrame) -> list[dict]:
-    """Per source: need (tokens) and scale of the expected copies; driver-side over at most FULL_WEIGHT sums a source."""
+def plan(texts: DataFrame, mix_targets: DataFrame, full_weight: int = FULL_WEIGHT) -> list[dict]:
+    """Per source: need (tokens) and scale of the expected copies; driver-side over at most full_weight sums a source."""
     goal = {r["source"]: r for r in targets(mix_targets).collect()}
     sums: dict[str, list[tuple[float, int]]] = {}
-    for r in texts.groupBy("source", F.least("tokens", F.lit(FULL_WEIGHT)).alias("w")).agg(F.sum("tokens").alias("t")).collect():
-        sums.setdefault(r["source"], []).append((r["w"] / FULL_WEIGHT, r["t"]))
+    for r in texts.groupBy("source", F.least("tokens", F.lit(full_weight)).alias("w")).agg(F.sum("tokens").alias("t")).collect():
+        sums.setdefault(r["source"], []).append((r["w"] / full_weight, r["t"]))
     have = {s: sum(t for _, t in w) for s, w in sums.items()}
     total = min((have[s] * goal[s]["max_repeats"] / goal[s]["target_share"] for s in have), default=0.0)
     out = []
@@ -70,18 +73,28 @@ def plan(texts: DataFrame, mix_targets: DataFrame) -> list[dict]:
     return out
 
 
-def mix(texts: DataFrame, mix_targets: DataFrame, seed: int = SEED) -> DataFrame:
+def _usual_odds(p: dict) -> float:
+    """Inclusion odds of a source's texts of full weight."""
+    chance = min(1 - 1e-9, max(1e-9, min(p["cap"], p["scale"]) % 1))
+    return chance / (1 - chance)
+
+
+def mix(texts: DataFrame, mix_targets: DataFrame, seed: int = SEED, full_weight: int = FULL_WEIGHT) -> DataFrame:
     """doc_id, source, tokens, copies of the texts taken."""
     spark = texts.sparkSession
-    p = spark.createDataFrame([(r["source"], r["need"], r["cap"], r["scale"]) for r in plan(texts, mix_targets)], "source string, need double, cap long, scale double")
-    weight = F.least("tokens", F.lit(FULL_WEIGHT)) / FULL_WEIGHT
+    p = spark.createDataFrame([(r["source"], r["need"], r["cap"], r["scale"], _usual_odds(r)) for r in plan(texts, mix_targets, full_weight)], "source string, need double, cap long, scale double, usual double")
+    weight = F.least("tokens", F.lit(full_weight)) / full_weight
     t = texts.join(F.broadcast(p), "source").withColumn("expected", F.least(F.col("cap").cast("double"), F.col("scale") * weight))
     t = t.withColumn("whole", F.floor(F.col("expected") + F.lit(1e-9))).withColumn("chance", F.greatest(F.lit(0.0), F.col("expected") - F.col("whole")))
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(2**53 - 1)) + 1) / F.lit(float(2**53))
     odds = (u / (1 - u)) / (F.col("chance") / (1 - F.col("chance")))
-    t = cut(t.withColumn("rank", F.when(F.col("chance") > 1e-12, odds / (1 + odds))).select("doc_id", "source", "tokens", "need", "whole", "rank"))
+    t = cut(t.withColumn("rank", F.when(F.col("chance") > 1e-12, odds)).select("doc_id", "source", "tokens", "need", "whole", "usual", "rank"))
     rest = t.groupBy("source").agg((F.max("need") - F.sum(F.col("whole") * F.col("tokens"))).alias("rest"))
-    drawn = t.where("rank is not null").withColumn("stretch", F.floor(F.col("rank") * STRETCHES))
+    drawn = t.where("rank is not null")
+    # ranks times the usual odds are the random odds of most texts, so the stretches of a source hold about as many each,
+    # whatever its chance
+    even = F.col("rank") * F.col("usual")
+    drawn = drawn.withColumn("stretch", F.least(F.floor(even / (1 + even) * STRETCHES), F.lit(STRETCHES - 1)))
     ranked = prefix_sums(drawn.select("doc_id", "source", "tokens", "whole", "rank", "stretch"), ["source"], ["rank", "doc_id"], "tokens", "stretch", "before")
     ranked = ranked.join(F.broadcast(rest), "source").withColumn("copies", F.col("whole") + (F.col("before") + F.col("tokens") / 2 <= F.col("rest")).cast("long"))
     sure = t.where("rank is null").withColumn("copies", F.col("whole"))

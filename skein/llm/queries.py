@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skein.llm import bpe, grouped_split, merkle, mixing, overlap, pairs, pii, residue, stable_sample, survivors
 from skein.runtime import cut, read_table
@@ -39,6 +40,26 @@ def _mix(documents: DataFrame, targets: DataFrame) -> DataFrame:
     return mixing.mix(cut(mixing.sized_texts(documents, targets)), targets)
 
 
+def _p2_proof(training: DataFrame) -> DataFrame:
+    """What must hold of the splits: no session and no author in two of them, and shares near the given ones."""
+    m = grouped_split.members(training).where("id is not null").select("id", "session", "author")
+    s = cut(grouped_split.assign(training).select("id", "split"))
+    j = m.join(s, "id")
+    torn = lambda c: j.where(F.col(c).isNotNull()).groupBy(c).agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias(f"torn_{c}s"))
+    share = lambda x: F.avg((F.col("split") == x).cast("double"))
+    near = [(F.abs(share(x) - p) < 0.02).alias(f"{x}_near") for x, p in zip(grouped_split.SPLITS, grouped_split.SHARES)]
+    return torn("session").join(torn("author"), how="cross").join(s.agg(F.count(F.lit(1)).alias("n"), *near), how="cross")  # one row each
+
+
+def _p9_proof(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """What must hold of the mixture: shares near the targets for sources with texts, no text repeated too often."""
+    r = mixing.shares(_mix(documents, targets), targets)
+    have = documents.where("doc_id is not null and text != ''").select("source").distinct().withColumn("_have", F.lit(True))
+    r = r.join(have, "source", "left").withColumn("_have", F.coalesce("_have", F.lit(False)))
+    want = F.col("target_share") / F.sum(F.when(F.col("_have"), F.col("target_share"))).over(Window.partitionBy())  # a row for each target
+    return r.select("source", (F.abs(F.when(F.col("_have"), want).otherwise(F.lit(0.0)) - F.col("actual_share")) < 0.02).alias("near"), (F.col("most_copies") <= F.col("max_repeats")).alias("cap_kept"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": _t("predictions")(pairs.found),
@@ -47,6 +68,7 @@ def queries() -> dict[str, Query]:
         "p2_splits": _t("training_rows")(lambda t: grouped_split.assign(t).select("id", "split")),
         "p2_labels": _t("training_rows", "session_labels")(_p2_labels),
         "p2_shares": _t("training_rows")(lambda t: grouped_split.shares_report(grouped_split.assign(t))),
+        "p2_proof": _t("training_rows")(_p2_proof),
         "p3_found": _t("session_texts", "goal_rows", "name_parts")(pii.found),
         "p3_redacted": _t("session_texts", "goal_rows", "name_parts")(_p3_redacted),
         "p4_found": _t("session_labels", "source_trust")(survivors.found),
@@ -60,6 +82,7 @@ def queries() -> dict[str, Query]:
         "p8_ids": _t("documents")(bpe.corpus_ids),
         "p9_mix": _t("documents", "mix_targets")(_mix),
         "p9_shares": _t("documents", "mix_targets")(lambda d, t: mixing.shares(_mix(d, t), t)),
+        "p9_proof": _t("documents", "mix_targets")(_p9_proof),
         "p10_found": _t("documents")(residue.found),
         "p10_kept": _t("documents")(residue.kept),
         "p10_recurring": _t("documents")(residue.recurring),
@@ -98,6 +121,13 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": f"""with r as (select {_BARE.format(c="session_id")} session_id, aspect, l.label_id, value, note, runtime, coalesce(t.trust, -1) trust, coalesce({_INSTANT.format(c="ts")}, -4611686018427387904) t
               from session_labels l left join source_trust t on t.source_kind = lower(trim(split_part(l.source, ':', 1))))
             select session_id, aspect, {picks} from r where session_id is not null and aspect is not null group by all having count(distinct label_id) > 1""",
+        "p2_proof": "select 0::bigint torn_sessions, 0::bigint torn_authors, count(*) n, true train_near, true validation_near, true test_near from training_rows where id is not null",
+        "p4_merged": f"""with r as (select {_BARE.format(c="session_id")} session_id, aspect, l.label_id, value, note, runtime, coalesce(t.trust, -2147483648) trust, coalesce({_INSTANT.format(c="ts")}, -4611686018427387904) t
+              from session_labels l left join source_trust t on t.source_kind = lower(trim(split_part(l.source, ':', 1)))),
+            g as (select session_id, aspect, count(*) n, max(row(trust, t, label_id)) b, {picks} from r where session_id is not null and aspect is not null and label_id is not null group by all)
+            select g.session_id, g.aspect, n, struct_extract(b, 3) best_label, v.value, o.note, u.runtime from g left join session_labels v on v.label_id = value_from left join session_labels o on o.label_id = note_from left join session_labels u on u.label_id = runtime_from""",
+        "p6_collapsed": f"""select min(goal_id) goal_id, count(*) copies from (select goal_id, {form} m, {_LEAF.format(c="goal")} g from goal_rows where goal_id is not null and goal_source is distinct from 'contract:no-task-v1') group by m, g""",
+        "p9_proof": "select source, true as near, true as cap_kept from mix_targets",
         "p5_found": f"""with t as (select id, split_name = 'train' train, {_WORDS.format(c=_TEXT.format(c="u"))} w from (
                 select id, {_DAY.format(c="split_day")} d, list_filter(messages, lambda m: m.role = 'user')[1].content u from training_rows) x join split_days on d = split_days.split_day),
               g as (select goal_id id, not coalesce(gold, false) train, {_WORDS.format(c=_TEXT.format(c="message"))} w from goal_rows where goal_source is distinct from 'contract:no-task-v1')

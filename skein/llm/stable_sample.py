@@ -102,7 +102,8 @@ def previous_records(frozen: DataFrame) -> DataFrame:
 def broken_records(frozen: DataFrame, labels: DataFrame) -> DataFrame:
     """frozen_id, session_id that the record before holds, this one doesn't, and the label store has a label for.
 
-    Ids are compared by their permuted value under the record's seed and inverted for the result.
+    Ids are compared by their permuted values, which are exact keys (one permutation for all records, so that labels are
+    permuted once), and inverted for the result; nothing is drawn here.
     """
     seed = F.coalesce(F.col("seed"), F.lit(0)).cast("long")
     codes = F.array_distinct(F.filter(F.transform(F.coalesce("session_ids", F.array()), lambda s: permute(domain_id(bare_session_id(s)), F.lit(0).cast("long"))), lambda v: v.isNotNull()))

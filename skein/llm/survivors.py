@@ -111,6 +111,8 @@ def merged(labels: DataFrame, trust: DataFrame) -> DataFrame:
     s = survivors(labels, trust).select("session_id", "aspect", "n", "best_label", *[f"{f}_from" for f in FIELDS])
     picks = s.select("session_id", "aspect", "n", "best_label", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_from").alias("label_id")) for f in FIELDS])).alias("p"))
     picks = picks.select("session_id", "aspect", "n", "best_label", "p.field", "p.label_id")
-    rows = labels.groupBy(F.col("label_id").cast("long").alias("label_id")).agg(*[F.max(f).alias(f) for f in FIELDS])
-    got = picks.join(rows, "label_id", "left")
+    rows = labels.groupBy(F.col("label_id").cast("long").alias("label_id")).agg(*[F.max(f).alias(f) for f in FIELDS]).withColumn("_s", F.lit(0))
+    # a field that no record fills meets nothing; such picks, which can be most, are spread by their group
+    picks = picks.withColumn("_s", F.when(F.col("label_id") == -1, F.pmod(F.xxhash64("session_id", "aspect"), F.lit(4096)).cast("int") + 1).otherwise(F.lit(0)))
+    got = picks.join(rows, ["label_id", "_s"], "left")
     return got.groupBy("session_id", "aspect", "n", "best_label").agg(*[F.max(F.when(F.col("field") == f, F.col(f))).alias(f) for f in FIELDS])

@@ -185,6 +185,19 @@ def test_split_shares(spark):
         assert abs(r["share"] - {"train": 0.8, "validation": 0.1, "test": 0.1}[r["split"]]) < 0.03
 
 
+def test_authors_without_sessions_and_large_groups(spark):
+    """Rows of an author stay together with or without session; one group of half of the rows leaves the shares right."""
+    random.seed(3)
+    data = [train(f"h{i}", {"author": "Hub", "session_id": f"{i % 5:014x}" if i % 2 else None, "runtime": "omp"}) for i in range(1000)]
+    data += [train(f"l{i}", {"author": f"a{i % 300}", "runtime": ["omp", "kimi"][i % 2]}) for i in range(1000)]
+    got = {r["id"]: r["split"] for r in grouped_split.assign(spark.createDataFrame(data, TRAIN)).collect()}
+    assert len(got) == 2000 and len({v for k, v in got.items() if k[0] == "h"}) == 1
+    for i in range(300):
+        assert len({got[f"l{k}"] for k in range(i, 1000, 300)}) == 1
+    share = lambda x: sum(v == x for v in got.values()) / 2000
+    assert abs(share("train") - 0.8) < 0.02 and abs(share("test") - 0.1) < 0.02
+
+
 def test_labels_follow(spark):
     a = spark.createDataFrame([("1", "ab12cd34ef5678", "omp", "test")], "id string, session string, runtime string, split string")
     got = {r["label_id"]: r["split"] for r in grouped_split.follow(spark.createDataFrame([label(1, s="OMP/ab12cd34ef5678"), label(2, s="0" * 14), label(3, s="0" * 14), label(4, s=None)], LABEL), a).collect()}
@@ -319,5 +332,8 @@ def test_mixing(spark):
     for r in mixing.shares(m, t).collect():
         assert r["most_copies"] <= r["max_repeats"] and abs(r["actual_share"] - (0 if r["source"] == "gone" else r["target_share"] / 0.95)) < 0.02
     assert rows(m) == rows(mixing.mix(texts.repartition(7), t))
+    near = spark.createDataFrame([("a", 0.5, 1), ("b", 0.001, 1)], "source string, target_share double, max_repeats long")
+    for r in mixing.shares(mixing.mix(texts, near, full_weight=1), near).collect():  # chances near 1 and near 0
+        assert abs(r["actual_share"] - r["target_share"] / 0.501) < 0.02
     assert mixing.mix(mixing.sized_texts(df.limit(0), t), t).count() == 0
     assert mixing.sized_texts(df, t.limit(0)).count() == 0
