@@ -60,10 +60,11 @@ def _scale(weights: list[tuple[float, int]], need: float, cap: int) -> float:
 
 def plan(texts: DataFrame, mix_targets: DataFrame, full_weight: int = FULL_WEIGHT) -> list[dict]:
     """Per source: need (tokens) and scale of the expected copies; driver-side over at most full_weight sums a source."""
-    goal = {r["source"]: r for r in targets(mix_targets).collect()}
+    goal = {r["source"]: r for r in targets(mix_targets).where("target_share > 0").collect()}
     sums: dict[str, list[tuple[float, int]]] = {}
     for r in texts.groupBy("source", F.least("tokens", F.lit(full_weight)).alias("w")).agg(F.sum("tokens").alias("t")).collect():
         sums.setdefault(r["source"], []).append((r["w"] / full_weight, r["t"]))
+    sums = {s: w for s, w in sums.items() if s in goal}
     have = {s: sum(t for _, t in w) for s, w in sums.items()}
     total = min((have[s] * goal[s]["max_repeats"] / goal[s]["target_share"] for s in have), default=0.0)
     out = []
