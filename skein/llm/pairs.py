@@ -86,6 +86,7 @@ _CUES = {
 }
 # --- end of fixed values ---
 _CUE = {k: re.compile(v, re.I) for k, v in _CUES.items()}
+_ANY_CUE = re.compile("|".join(f"(?:{v})" for v in _CUES.values()), re.I)
 _TAG = re.compile(r"</?goal\s*/?>", re.I)
 _OPEN, _CLOSE, _BROKEN = re.compile(r"<goal\s*>", re.I), re.compile(r"</goal\s*>", re.I), re.compile(r"<(?:/(?:g(?:o(?:a(?:l\s*)?)?)?)?|g(?:o(?:a(?:l\s*/?)?)?)?)?\s*$", re.I)
 _QUOTED = re.compile(r"[“„«\"][^”“»\"\n]{1,120}[”“»\"]")
@@ -113,14 +114,14 @@ def plain_words(text: str) -> list[str]:
     return out
 
 
-def states_task(message: str) -> bool:
-    """Whether a message asks for something; a mere acknowledgement doesn't."""
-    w = [x.lower() for x in _WORDS.findall(message)]
+def states_task(w: list[str]) -> bool:
+    """Whether a message of the lower-case words w asks for something; a mere acknowledgement doesn't."""
     return bool(w) and not (len(w) <= 5 and all(x in _ACK for x in w))
 
 
 _SETS = {k: frozenset(v) for k, v in _FUNCTION.items()}
 _FURTHER_SETS = {k: frozenset(v) for k, v in _FURTHER.items()}
+_ALL_FURTHER = frozenset().union(*_FURTHER_SETS.values())
 
 
 def sure_language(words: list[str]) -> str | None:
@@ -190,13 +191,13 @@ class Languages:
         """Whether function words of a further language, or letters of another script, make up the words w."""
         k = list(_FUNCTION)[lang] if lang is not None else None
         own = _SETS[k] if k else frozenset()
-        for further in _FURTHER_SETS.values():
+        for further in _FURTHER_SETS.values() if not _ALL_FURTHER.isdisjoint(w) else ():
             hits = [x for x in w if x in further and x not in own]
             # words that the message's own language has at least as often tell nothing
             if len(hits) >= 2 and sum(k is None or x not in self.word or self.word[x].argmax() != lang for x in hits) * 4 >= max(8, len(w)):
                 return True
         letters = "".join(w)
-        return bool(letters) and sum(ord(c) > 0x24F for c in letters) * 2 > len(letters)
+        return not letters.isascii() and sum(ord(c) > 0x24F for c in letters) * 2 > len(letters)
 
 
 class Vocabulary:
@@ -291,18 +292,15 @@ class Message:
         self.set = set(self.words)
         s = languages.score(plain_words(text))
         self.lang = None if s is None or np.sort(s)[-2] > -2.0 else int(s.argmax())
-        self.task = states_task(text)
+        self.task = states_task(self.words)
 
     @cached_property
     def runs(self) -> set[tuple[str, ...]]:
         return set(zip(self.words, self.words[1:], self.words[2:]))
 
-    @cached_property
-    def after(self) -> dict[str, set[str]]:
-        out: dict[str, set[str]] = {}
-        for a, b in zip(self.words, self.words[1:]):
-            out.setdefault(a, set()).add(b)
-        return out
+    def after(self, word: str) -> set[str]:
+        """Words that follow a word."""
+        return {b for a, b in zip(self.words, self.words[1:]) if a == word} if word in self.set else set()
 
 
 def _bin(x: float) -> int:
@@ -322,7 +320,7 @@ def features(parts: list[str], m: Message, languages: Languages, vocabulary: Voc
         run = sum(r in m.runs for r in runs) / len(runs) if runs else 0.0
         apart = not any(x in m.set for x in w if x not in _ALL_FUNCTION)  # no word of content from the message
         f = ["bias", f"shared={_bin(shared)}", f"run={_bin(run)}", f"len={min(4, len(w) // 4)}", f"longrun={len(runs) >= 4 and run > 0.6}", f"apart={apart}"]
-        cues = [k for k, rx in _CUE.items() if rx.search(low)]
+        cues = [k for k, rx in _CUE.items() if rx.search(low)] if _ANY_CUE.search(low) else []
         f += [f"cue={k}" for k in cues]
         f += [f"cues={min(3, len([k for k in cues if k not in ('self', 'help', 'no')]))}", f"selfcue={'self' in cues and len(cues) > 1}"]
         f += [f"apart&{k}" for k in ("self", "no") if apart and k in cues]
@@ -340,7 +338,7 @@ def features(parts: list[str], m: Message, languages: Languages, vocabulary: Voc
         f += [f"first={i == 0}", f"last={last}"]
         if last:
             tail = w[-1]
-            follows = m.after.get(w[-2], set()) if len(w) > 1 else set()
+            follows = m.after(w[-2]) if len(w) > 1 else set()
             cut_phrase = tail not in follows and any(x.startswith(tail) for x in follows)
             f += [f"open={opened}", f"connector={tail in _CONNECTORS}", f"openconnector={opened and tail in _CONNECTORS}", f"cutphrase={cut_phrase}", f"end={ended}"]
             inside, end = (6, 6) if tail.isdigit() else vocabulary.whole(tail)
@@ -425,9 +423,8 @@ def train(rows: list[tuple[str | None, str | None, str | None]], languages: Lang
     rng = random.Random(SEED)
     good: list[tuple[Message, str, str]] = []
     for m, g, s in rows:
-        if not m or not states_task(m):
+        if not m or not (msg := Message(m, languages)).task:
             continue
-        msg = Message(m, languages)
         for a in (g, s):
             text, opened = split_answer(a or "")
             w = _WORDS.findall(text)
