@@ -119,9 +119,12 @@ def messages(text: Column) -> Column:
 
 def masked(message: Column) -> Column:
     """Message with addresses, numbers and the rest of their ids, dates and versions as signs, case folded."""
-    # one chain without conditions: inside lambdas a branch would compute its input again
-    m = F.regexp_replace(F.lower(message), r"https?://\S+|(?<![\w.+-])[\w.+-]++@[\w.-]+|(?<!\w)/[\w./-]+", "§")
-    m = F.regexp_replace(m, r"\b[a-f]{0,12}+\d[\da-f:.tz-]*", "§")
+    low = F.lower(message)
+    addresses = lambda m: F.regexp_replace(m, r"https?://\S+|(?<![\w.+-])[\w.+-]++@[\w.-]+|(?<!\w)/[\w./-]+", "§")
+    numbers = lambda m: F.regexp_replace(m, r"\b[a-f]{0,12}+\d[\da-f:.tz-]*", "§")
+    # whole chains as branches: inside lambdas a branch computes its input again, and the bare message costs nothing
+    digits, signs = message.rlike(r"\d"), message.rlike("[/@]")
+    m = F.when(signs & digits, numbers(addresses(low))).when(digits, numbers(low)).when(signs, addresses(low)).otherwise(low)
     return F.regexp_replace(m, r"(?:[\s​]|\p{Z})+", " ")
 
 
@@ -174,12 +177,13 @@ def _scanned(documents: DataFrame) -> DataFrame:
     d = d.select("doc_id", "source", slots(F.col("text")).alias("s"), messages(F.col("text")).alias("ms"))
     d = d.select("doc_id", "source", F.coalesce((F.col("s.strong") >= 1) | (F.col("s.strong") + F.col("s.weak") >= 2), F.lit(False)).alias("filled"), "ms")
     menu = lambda u: F.when(F.length(u) <= LONGEST_MENU, u.rlike(_BOILER)).otherwise(F.lit(False))
-    opening = F.coalesce(F.get(F.filter("ms", lambda u: ~menu(u)), F.lit(0)), F.get("ms", F.lit(0)))
+    d = d.withColumn("ms", F.transform("ms", lambda u: F.struct(u.alias("m"), menu(u).alias("menu"))))
+    opening = F.coalesce(F.get(F.filter("ms", lambda u: ~u["menu"]), F.lit(0)), F.get("ms", F.lit(0)))["m"]
     d = d.withColumn("page", F.coalesce(classify(opening, False)["kind"].isNotNull(), F.lit(False)))
-    unit = lambda u, c: F.struct(F.xxhash64(masked(u)).alias("key"), F.length(u).alias("len"), menu(u).alias("menu"), c["kind"].alias("kind"), c["weak"].alias("weak"))
+    unit = lambda u, c: F.struct(F.xxhash64(masked(u["m"])).alias("key"), F.length(u["m"]).alias("len"), u["menu"].alias("menu"), c["kind"].alias("kind"), c["weak"].alias("weak"))
     by_words = lambda u: F.struct(F.when(_filler(u) & ~u.contains("§"), F.lit("filler")).alias("kind"), F.lit(False).alias("weak"))
     by_phrases = lambda u: F.struct(F.coalesce(by_words(u)["kind"], classify(u, False)["kind"]).alias("kind"), (by_words(u)["kind"].isNull() & classify(u, False)["weak"]).alias("weak"))
-    units = F.when(F.col("page"), F.transform("ms", lambda u: unit(u, by_phrases(u)))).otherwise(F.transform("ms", lambda u: unit(u, by_words(u))))
+    units = F.when(F.col("page"), F.transform("ms", lambda u: unit(u, by_phrases(u["m"])))).otherwise(F.transform("ms", lambda u: unit(u, by_words(u["m"]))))
     return cut(d.select("doc_id", "source", "filled", "page", units.alias("units")))
 
 
