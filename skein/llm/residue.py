@@ -117,28 +117,27 @@ def messages(text: Column) -> Column:
     return F.filter(F.transform(F.split(plain[0], r"(?<=[.!?…])\s+|[\r\n]+"), lambda u: F.trim(F.regexp_replace(u, r"(?U)^[\s#>*-]+|\s+$", ""))), lambda u: u != "")
 
 
-def masked(message: Column) -> Column:
-    """Message with addresses, numbers and the rest of their ids, dates and versions as signs, case folded."""
-    low = F.lower(message)
+def masked(low: Column) -> Column:
+    """Lower-case message with addresses, numbers and the rest of their ids, dates and versions as signs."""
     addresses = lambda m: F.regexp_replace(m, r"https?://\S+|(?<![\w.+-])[\w.+-]++@[\w.-]+|(?<!\w)/[\w./-]+", "§")
     numbers = lambda m: F.regexp_replace(m, r"\b[a-f]{0,12}+\d[\da-f:.tz-]*", "§")
     # whole chains as branches: inside lambdas a branch computes its input again, and the bare message costs nothing
-    digits, signs = message.rlike(r"\d"), message.rlike("[/@]")
+    digits, signs = low.rlike(r"\d"), low.rlike("[/@]")
     m = F.when(signs & digits, numbers(addresses(low))).when(digits, numbers(low)).when(signs, addresses(low)).otherwise(low)
-    return F.regexp_replace(m, r"(?:[\s​]|\p{Z})+", " ")
+    return F.regexp_replace(m, r" *[\s\u200b\p{Z}&&[^ ]][\s\u200b\p{Z}]*| {2,}", " ")
 
 
-def _filler(message: Column) -> Column:
-    """Whether dummy words, or words of the middle row of keys, make up a message."""
-    few = F.size(F.filter(F.split(F.lower(message), r"[ .,;:!?]"), lambda x: x.isin(*_LATIN.split(), *_MASH_WORDS)))
-    w = F.split(F.lower(message), r"[^\p{L}]+")
+def _filler(low: Column) -> Column:
+    """Whether dummy words, or words of the middle row of keys, make up a lower-case message."""
+    few = F.size(F.filter(F.split(low, r"[ .,;:!?]"), lambda x: x.isin(*_LATIN.split(), *_MASH_WORDS)))
+    w = F.split(low, r"[^\p{L}]+")
     n = F.size(F.filter(w, lambda x: x != ""))
     latin = F.size(F.filter(w, lambda x: x.isin(*_LATIN.split())))
     mash = F.size(F.filter(w, lambda x: x.isin(*_MASH_WORDS)))
     home = F.size(F.filter(w, lambda x: x.rlike(f"^{_HOME_ROW}+$")))
     words = F.when(few >= 3, ((n >= 4) & (latin * 10 >= n * 7)) | ((n >= 3) & (mash * 10 >= n * 8))).otherwise(F.lit(False))
     # nine tenths of six words or more leave five in a row
-    keys = F.when(message.rlike(rf"(?i)(?:\b{_HOME_ROW}++\P{{L}}++){{4}}{_HOME_ROW}++\b"), (n >= 6) & (home * 10 >= n * 9)).otherwise(F.lit(False))
+    keys = F.when(low.rlike(rf"(?:\b{_HOME_ROW}++\P{{L}}++){{4}}{_HOME_ROW}++\b"), (n >= 6) & (home * 10 >= n * 9)).otherwise(F.lit(False))
     return words | keys
 
 
@@ -177,13 +176,13 @@ def _scanned(documents: DataFrame) -> DataFrame:
     d = d.select("doc_id", "source", slots(F.col("text")).alias("s"), messages(F.col("text")).alias("ms"))
     d = d.select("doc_id", "source", F.coalesce((F.col("s.strong") >= 1) | (F.col("s.strong") + F.col("s.weak") >= 2), F.lit(False)).alias("filled"), "ms")
     menu = lambda u: F.when(F.length(u) <= LONGEST_MENU, u.rlike(_BOILER)).otherwise(F.lit(False))
-    d = d.withColumn("ms", F.transform("ms", lambda u: F.struct(u.alias("m"), menu(u).alias("menu"))))
+    d = d.withColumn("ms", F.transform("ms", lambda u: F.struct(u.alias("m"), F.lower(u).alias("low"), menu(u).alias("menu"))))
     opening = F.coalesce(F.get(F.filter("ms", lambda u: ~u["menu"]), F.lit(0)), F.get("ms", F.lit(0)))["m"]
     d = d.withColumn("page", F.coalesce(classify(opening, False)["kind"].isNotNull(), F.lit(False)))
-    unit = lambda u, c: F.struct(F.xxhash64(masked(u["m"])).alias("key"), F.length(u["m"]).alias("len"), u["menu"].alias("menu"), c["kind"].alias("kind"), c["weak"].alias("weak"))
-    by_words = lambda u: F.struct(F.when(_filler(u) & ~u.contains("§"), F.lit("filler")).alias("kind"), F.lit(False).alias("weak"))
-    by_phrases = lambda u: F.struct(F.coalesce(by_words(u)["kind"], classify(u, False)["kind"]).alias("kind"), (by_words(u)["kind"].isNull() & classify(u, False)["weak"]).alias("weak"))
-    units = F.when(F.col("page"), F.transform("ms", lambda u: unit(u, by_phrases(u["m"])))).otherwise(F.transform("ms", lambda u: unit(u, by_words(u["m"]))))
+    unit = lambda u, c: F.struct(F.xxhash64(masked(u["low"])).alias("key"), F.length(u["m"]).alias("len"), u["menu"].alias("menu"), c["kind"].alias("kind"), c["weak"].alias("weak"))
+    by_words = lambda u: F.struct(F.when(_filler(u["low"]) & ~u["m"].contains("§"), F.lit("filler")).alias("kind"), F.lit(False).alias("weak"))
+    by_phrases = lambda u: F.struct(F.coalesce(by_words(u)["kind"], classify(u["m"], False)["kind"]).alias("kind"), (by_words(u)["kind"].isNull() & classify(u["m"], False)["weak"]).alias("weak"))
+    units = F.when(F.col("page"), F.transform("ms", lambda u: unit(u, by_phrases(u)))).otherwise(F.transform("ms", lambda u: unit(u, by_words(u))))
     return cut(d.select("doc_id", "source", "filled", "page", units.alias("units")))
 
 
@@ -195,14 +194,14 @@ def _wide(scanned: DataFrame, documents: DataFrame) -> DataFrame:
     wide = cut(wide)
     # the texts of one document for each of them are cut again, to read the message itself
     texts = rows_with(documents.select("doc_id", "text"), wide.select("doc_id").distinct(), "doc_id").select("doc_id", F.explode(messages(F.col("text"))).alias("message"))
-    named = wide.join(texts.select("doc_id", F.xxhash64(masked(F.col("message"))).alias("key"), "message"), ["doc_id", "key"]).groupBy("key", "docs", "sources").agg(F.min("message").alias("message"))
+    named = wide.join(texts.select("doc_id", F.xxhash64(masked(F.lower("message"))).alias("key"), "message"), ["doc_id", "key"]).groupBy("key", "docs", "sources").agg(F.min("message").alias("message"))
     c = classify(F.col("message"), True)
     return cut(named.select("key", c["kind"].alias("kind"), c["weak"].alias("weak"), "docs", "sources", "message").where("kind is not null"))
 
 
 def recurring(documents: DataFrame) -> DataFrame:
     """message, kind, docs, sources of each widely recurring message that is no content."""
-    return _wide(_scanned(documents), documents).select(masked(F.col("message")).alias("message"), "kind", "docs", "sources")
+    return _wide(_scanned(documents), documents).select(masked(F.lower("message")).alias("message"), "kind", "docs", "sources")
 
 
 def found(documents: DataFrame) -> DataFrame:
