@@ -151,11 +151,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def signatures(texts: list[str], known: dict[str, int], held: np.ndarray | None, met: set[tuple[int, int]], counts: np.ndarray) -> dict[str, np.ndarray | tuple]:
+def signatures(texts: list[str], known: dict[str, int], held: np.ndarray | None, met: set[tuple[int, int]], counts: np.ndarray, tags: np.ndarray) -> dict[str, np.ndarray | tuple]:
     """For each text with words: its place, r1, r2 (hashes of its word sequence), n (distinct words), two sketches, keys
     (all in a row, with where each text's begin).
 
     held: bitmap of the evaluation keys, for training texts; keys it doesn't hold are dropped. Texts met before have none.
+    tags: the table of each text; texts of different tables share neither hashes nor keys.
     """
     h, sizes = _flat(texts, known)
     full = np.flatnonzero(sizes)
@@ -168,7 +169,8 @@ def signatures(texts: list[str], known: dict[str, int], held: np.ndarray | None,
     place = (np.arange(len(h)) - start[doc]).astype(np.uint64)
     one, low = np.uint64(1), np.uint64(63)
     with np.errstate(over="ignore"):
-        r1, r2 = (np.add.reduceat(_mix(h + place * np.uint64(k)), start).astype(np.int64) for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+        table = _mix(tags[full].astype(np.uint64))  # 0 for the first
+        r1, r2 = ((np.add.reduceat(_mix(h + place * np.uint64(k)), start) + table).astype(np.int64) for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
         order = np.lexsort((h, doc))
         hs, ds = h[order], doc[order]
         first = np.concatenate([[True], (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])])
@@ -185,7 +187,7 @@ def signatures(texts: list[str], known: dict[str, int], held: np.ndarray | None,
                 if len(met) < 500_000:
                     met.add(r)
         where, key = prefix_keys(hs, ds, n, counts, held is not None)
-    key = key.astype(np.int64)
+        key = (key + table[where]).astype(np.int64)
     use = fresh[where] if held is None else fresh[where] & _held(held, key)
     where, key = where[use], key[use]
     o = np.lexsort((key, where))
@@ -238,13 +240,14 @@ def _signed(rows: DataFrame, bits: np.ndarray | None, counts: np.ndarray) -> Dat
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (held, counted), known, met = load(), {}, set()
         for b in batches:
-            got = signatures(b.column("text").to_pylist(), known, held, met, counted)
+            got = signatures(b.column("text").to_pylist(), known, held, met, counted, b.column("tag").to_numpy())
             at, (offsets, keys) = pa.array(got.pop("at")), got.pop("keys")
-            out = {k: b.column(k).take(at) for k in ("id", "split", "runtime")} | {k: pa.array(v, pa.int64()) for k, v in got.items()}
+            out = {k: b.column(k).take(at) for k in ("id", "split", "runtime", "tag")} | {k: pa.array(v, pa.int64()) for k, v in got.items()}
             yield pa.RecordBatch.from_pydict(out | {"keys": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys, pa.int64()))})
 
-    schema = "id string, split string, runtime string, r1 long, r2 long, n long, sketch long, sketch2 long, keys array<long>"
-    return rows.select("id", "split", "runtime", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(sign, schema)
+    schema = "id string, split string, runtime string, tag int, r1 long, r2 long, n long, sketch long, sketch2 long, keys array<long>"
+    tag = F.col("tag") if "tag" in rows.columns else F.lit(0)
+    return rows.select("id", "split", "runtime", F.coalesce("text", F.lit("")).alias("text"), tag.cast("int").alias("tag")).mapInArrow(sign, schema)
 
 
 def _keys(signed: DataFrame, side: str) -> DataFrame:
@@ -338,13 +341,13 @@ def _scan(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def scanned(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """eid, tid, share, coverage of the links among the shards and training texts that pairs (eid, tid) route.
+    """eid, tid, share, coverage of the links among the shards and training texts that pairs (eid, tid, tag) route.
 
-    rows: id, text.
+    rows: id, text. tag is the table; a shard holds texts of one table.
     """
-    eids = pairs.select("eid").distinct()
+    eids = pairs.select("eid", "tag").distinct()
     shards = max(1, -(-eids.count() // SHARD))
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int").alias("shard")
+    at = lambda c: (F.pmod(F.xxhash64(c), F.lit(shards)) * 256 + F.col("tag")).alias("shard")
     routed = cut(pairs.select(at("eid"), F.col("tid").alias("id")).distinct())
     # shards that many training texts reach are split by them
     split = cut(routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SCANNED).cast("int").alias("parts")).where("parts > 1"))
@@ -374,12 +377,13 @@ def linked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     tr = cut(_signed(rows.where("split = 'train'"), held, counts))
     text = ["r1", "r2"]
     # each text of a side once, under its smallest id
-    named = {train: cut(x.groupBy(*text).agg(F.min("id").alias("one"), F.count(F.lit(1)).alias("_n"))) for train, x in ((True, tr), (False, ev))}
+    named = {train: cut(x.groupBy(*text).agg(F.min("id").alias("one"), F.min("tag").alias("tag"), F.count(F.lit(1)).alias("_n"))) for train, x in ((True, tr), (False, ev))}
     pairs = cut(candidates(ev, tr))
     # equal hashes name all texts that have them; the automata decide
-    ids = pairs.join(named[False].select(F.col("r1").alias("er"), F.col("one").alias("eid")), "er").join(named[True].select(F.col("r1").alias("tr"), F.col("one").alias("tid")), "tr")
-    same = named[False].select(*text, F.col("one").alias("eid")).join(named[True].select(*text, F.col("one").alias("tid")), text)
-    links = cut(scanned(cut(ids.select("eid", "tid").unionByName(same.select("eid", "tid"))), rows))
+    e, t = named[False].select(*text, "tag", F.col("one").alias("eid")), named[True].select(*text, F.col("one").alias("tid"))
+    ids = pairs.join(e.withColumnRenamed("r1", "er").drop("r2"), "er").join(t.withColumnRenamed("r1", "tr").drop("r2"), "tr")
+    same = e.join(t, text)
+    links = cut(scanned(cut(ids.select("eid", "tid", "tag").unionByName(same.select("eid", "tid", "tag"))), rows))
     parts, copied = [], []
     for train, signed in ((True, tr), (False, ev)):
         big = named[train].where("_n > 1")
@@ -407,7 +411,10 @@ def pairs_of(rows: DataFrame) -> DataFrame:
 
 
 def found(training: DataFrame, split_days: DataFrame, goals: DataFrame) -> DataFrame:
-    return pairs_of(training_side(training, split_days)).unionByName(pairs_of(goal_side(goals)))
+    """Pairs of both tables by one pass; a letter before the ids keeps the tables apart."""
+    sides = [x.withColumn("id", F.concat(F.lit("tg"[i]), F.col("id"))).withColumn("tag", F.lit(i)) for i, x in enumerate((training_side(training, split_days), goal_side(goals)))]
+    p = pairs_of(sides[0].unionByName(sides[1]))
+    return p.select(*[F.expr(f"substring({c}, 2)").alias(c) for c in ("id_a", "id_b")])
 
 
 def report(rows: DataFrame, table: str) -> DataFrame:

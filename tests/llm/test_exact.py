@@ -262,6 +262,8 @@ def test_overlap_sides(spark):
     tr = spark.createDataFrame([train("1", None, " 2026/01/01", json.dumps({"n": 1, "text": t})), train("2", None, "20260102", t.upper()), train("3", None, "undated", t), train("4", None, None, t), train(None, None, "20260102", t), ("5", "20260102", None, None, "", "", 1)], TRAIN)
     g = spark.createDataFrame([goal("g2", t, gold=True), goal("g1", t + "!"), goal("g3", t, src="contract:no-task-v1"), goal("g4", None, gold=True)], GOAL)
     assert rows(overlap.found(tr, days, g)) == {("1", "2"), ("g1", "g2")}
+    alike = spark.createDataFrame([goal("2", t, gold=True), goal("1", t + "!")], GOAL)  # ids and texts of the other table
+    assert sorted(tuple(x) for x in overlap.found(tr, days, alike).collect()) == [("1", "2"), ("1", "2")]
 
 
 def test_a_shard_scans():
