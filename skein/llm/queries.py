@@ -75,6 +75,7 @@ def queries() -> dict[str, Query]:
         "p4_merged": _t("session_labels", "source_trust")(survivors.merged),
         "p5_found": _t("training_rows", "split_days", "goal_rows")(overlap.found),
         "p5_report": _t("training_rows", "split_days", "goal_rows")(_p5_report),
+        "p5_counts": _t("training_rows", "split_days", "goal_rows")(lambda *t: _p5_report(*t).drop("mean_coverage")),
         "p6_found": _t("goal_rows")(merkle.found),
         "p6_collapsed": _t("goal_rows")(merkle.collapsed),
         "p7_found": _t("frozen_splits", "session_labels")(stable_sample.broken_records),
@@ -104,6 +105,15 @@ def _near(rows: str, name: str) -> str:
     where not a.train and b.train and len(a.w) > 0 and len(b.w) > 0 and len(list_intersect(a.w, b.w)) >= 0.7 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-9"""
 
 
+_RT = "case when lower(trim({c})) in ('omp', 'claude', 'codex', 'droid', 'kimi') then lower(trim({c})) else 'other' end"
+
+
+def _counted(table: str, rows: str) -> str:
+    """Evaluation rows with words of `rows` (id, split, runtime, train, w), and how many of them overlap a training row."""
+    return f"""select '{table}' table_name, split, runtime, count(*) records, count(o.id) overlapping from {rows} left join (select distinct a.id from {rows} a, {rows} b where not a.train and b.train and len(a.w) > 0 and len(b.w) > 0
+      and len(list_intersect(a.w, b.w)) >= 0.7 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-9) o using (id) where not train and len(w) > 0 group by all"""
+
+
 def oracle_sql() -> dict[str, str]:
     value = "max(case when {c} is not null and regexp_replace({c}, '^\\s+|\\s+$', '', 'g') not in ('', 'None') then row(trust, t, label_id) end)"
     picks = ", ".join(f"coalesce(struct_extract({value.format(c=c)}, 3), -1) {c}_from" for c in ("value", "note", "runtime"))
@@ -132,6 +142,10 @@ def oracle_sql() -> dict[str, str]:
                 select id, {_DAY.format(c="split_day")} d, list_filter(messages, lambda m: m.role = 'user')[1].content u from training_rows) x join split_days on d = split_days.split_day),
               g as (select goal_id id, not coalesce(gold, false) train, {_WORDS.format(c=_TEXT.format(c="message"))} w from goal_rows where goal_source is distinct from 'contract:no-task-v1')
             select distinct * from ({_near("t", "t")} union all {_near("g", "g")})""",
+        "p5_counts": f"""with t as (select id, split_name split, {_RT.format(c="case when json_valid(metadata) then json_extract_string(metadata, '$.runtime') end")} runtime, split_name = 'train' train, {_WORDS.format(c=_TEXT.format(c="u"))} w from (
+                select id, metadata, {_DAY.format(c="split_day")} d, list_filter(messages, lambda m: m.role = 'user')[1].content u from training_rows) x join split_days on d = split_days.split_day where id is not null),
+              g as (select goal_id id, 'gold' split, {_RT.format(c="runtime")} runtime, not coalesce(gold, false) train, {_WORDS.format(c=_TEXT.format(c="message"))} w from goal_rows where goal_id is not null and goal_source is distinct from 'contract:no-task-v1')
+            {_counted("training_rows", "t")} union all {_counted("goal_rows", "g")}""",
         "p6_found": f"""with r as (select goal_id, {form} m, {_LEAF.format(c="goal")} g from goal_rows where goal_source is distinct from 'contract:no-task-v1'),
               f as (select *, min(goal_id) over (partition by m, g) first_id from r)
             select first_id, goal_id copy_id from f where goal_id <> first_id""",
