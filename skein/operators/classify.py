@@ -4,65 +4,60 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.numbers import sublinear_tf
 from skein.operators import features
+from skein.operators.logistic import Corpus
 from skein.operators.splits import folds
-from skein.runtime import cut
+from skein.runtime import HOT_SHARE, cut, skew_lookup
 from skein.sources import files
 
 MAX_ITER, TOL = 100, 1e-6
 
 
 class TextClassifier:
-    """Classes in sorted order; the first maximum wins ties."""
+    """Classes in sorted order; the first maximum wins ties. terms: term, df, idf, w (a coefficient for each class)."""
 
-    def __init__(self, vocabulary: DataFrame, idf: DataFrame, classes: list[str], model):
-        self.vocabulary, self.idf, self.classes, self.model = vocabulary, idf, classes, model
+    def __init__(self, terms: DataFrame, classes: list[str], intercepts: list[float]):
+        self.terms, self.classes, self.intercepts = terms, classes, intercepts
 
     @classmethod
     def fit(cls, docs: DataFrame, max_iter: int = MAX_ITER) -> TextClassifier:
         """docs: doc, text, label. The L2 penalty is one half of the squared weights against the summed loss."""
-        from pyspark.ml.classification import LogisticRegression
-
-        counts = cut(features.term_counts(docs))
-        idf = cut(features.inverse_frequency(counts, docs))
-        vocabulary = cut(features.vocabulary(counts))
-        classes = sorted(r[0] for r in docs.select("label").distinct().collect())  # a handful of classes
-        rows = cut(features.vectors(features.weights(counts, idf), vocabulary).join(docs.select("doc", "label"), "doc"))
-        y = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1
-        n = max(1, rows.count())
-        lr = LogisticRegression(family="multinomial", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=TOL, labelCol="y")
-        return cls(vocabulary, idf, classes, lr.fit(rows.withColumn("y", y.cast("double"))))
+        corpus = Corpus(docs.select("text", "label", F.lit(-1).alias("fold")), keep_terms=True)
+        run = corpus.fit([0], max_iter, TOL)[0]
+        return cls(corpus.coefficients(run), corpus.classes, [float(x) for x in run.b])
 
     def predict(self, docs: DataFrame) -> DataFrame:
         """doc, predicted, probability of docs (doc, text); documents without known terms get the class of the intercepts."""
-        from pyspark.ml.functions import vector_to_array
-
-        w = features.weights(features.term_counts(docs), self.idf)
-        both = features.vectors(w, self.vocabulary, docs.select("doc").distinct())
-        p = vector_to_array("probability")
+        total = self.terms.agg(F.sum("df").alias("_all"))  # one row
+        hot = self.terms.join(F.broadcast(total), F.col("df") * HOT_SHARE >= F.col("_all")).select("term")  # at most HOT_SHARE by counting
+        x = sublinear_tf(F.col("n")) * F.col("idf")
+        known = skew_lookup(features.term_counts(docs), self.terms.select("term", "idf", "w"), "term", hot, "inner").select("doc", x.alias("x"), "w")
+        sums = known.groupBy("doc").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_norm"), *[F.sum(F.col("x") * F.col("w")[k]).alias(f"_m{k}") for k in range(len(self.classes))])
+        m = F.array(*[F.coalesce(F.col(f"_m{k}") / F.col("_norm"), F.lit(0.0)) + F.lit(b) for k, b in enumerate(self.intercepts)])
+        both = docs.select("doc").distinct().join(sums, "doc", "left").select("doc", m.alias("m"))
+        e = both.withColumn("e", F.transform("m", lambda v: F.exp(v - F.array_max("m"))))
+        p = e.select("doc", F.transform("e", lambda v: v / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).alias("p"))
         label = F.array(*[F.lit(c) for c in self.classes])
-        best = F.array_position(p, F.array_max(p))
-        return self.model.transform(both).select("doc", F.element_at(label, best.cast("int")).alias("predicted"), F.array_max(p).alias("probability"))
+        return p.select("doc", F.element_at(label, F.array_position("p", F.array_max("p")).cast("int")).alias("predicted"), F.array_max("p").alias("probability"))
 
     def save(self, folder: str, metrics: dict) -> None:
         """Model first, then the metrics, so that metrics never name a model that isn't there. Any file system will do."""
-        self.model.write().overwrite().save(f"{folder}/model")
-        self.idf.join(self.vocabulary, "term").write.mode("overwrite").parquet(f"{folder}/vocabulary")
-        files.write_text(self.idf.sparkSession, f"{folder}/metrics.json", json.dumps(metrics | {"classes": self.classes}, sort_keys=True))
+        self.terms.write.mode("overwrite").parquet(f"{folder}/model")
+        files.write_text(self.terms.sparkSession, f"{folder}/metrics.json", json.dumps(metrics | {"classes": self.classes, "intercepts": self.intercepts}, sort_keys=True))
 
     @classmethod
     def load(cls, spark, folder: str) -> TextClassifier:
-        from pyspark.ml.classification import LogisticRegressionModel
-
-        classes = json.loads(files.read_text(spark, f"{folder}/metrics.json"))["classes"]
-        model = LogisticRegressionModel.load(f"{folder}/model")
-        table = spark.read.parquet(f"{folder}/vocabulary")
-        if model.numClasses != max(2, len(classes)) or model.numFeatures != table.count():
-            raise ValueError("the artifact's model, classes and vocabulary don't fit together")
-        return cls(table.select("term", "index"), table.select("term", "df", "idf"), classes, model)
+        metrics = json.loads(files.read_text(spark, f"{folder}/metrics.json"))
+        classes, intercepts = metrics["classes"], metrics.get("intercepts", [])
+        terms = spark.read.schema("term string, df long, idf double, w array<double>").parquet(f"{folder}/model")
+        if len(classes) != len(intercepts) or terms.where(F.col("w").isNull() | (F.size("w") != len(classes))).take(1):
+            raise ValueError("the artifact's model, classes and intercepts don't fit together")
+        return cls(terms, classes, intercepts)
 
 
 def cross_validate(docs: DataFrame, seed: int, most: int = 5, max_iter: int = MAX_ITER) -> float:
@@ -71,12 +66,11 @@ def cross_validate(docs: DataFrame, seed: int, most: int = 5, max_iter: int = MA
     if sum(counts.values()) < 10 or min(counts.values(), default=0) < 2:
         return 0.0
     k = min(most, min(counts.values()))
-    f = cut(folds(docs, seed, k, "label", "doc"))
+    corpus = Corpus(folds(docs, seed, k, "label", "doc"), k)
+    scored = [f for f in range(k) if (corpus.fold_of == f).any() and len(set(corpus.y[corpus.fold_of != f])) > 1]
+    runs = corpus.fit(scored, max_iter, TOL)
     scores = []
-    for i in range(k):
-        train, test = f.where(F.col("fold") != i), f.where(F.col("fold") == i)
-        if not test.take(1) or train.select("label").distinct().count() < 2:
-            continue
-        got = TextClassifier.fit(train, max_iter).predict(test.select("doc", "text")).join(test.select("doc", "label"), "doc")
-        scores.append(got.agg(F.avg((F.col("predicted") == F.col("label")).cast("double"))).first()[0])
+    for f, run in runs.items():
+        test = corpus.fold_of == f
+        scores.append(float(np.mean(run.margins()[:, test].argmax(axis=0) == corpus.y[test])))
     return sum(scores) / len(scores) if scores else 0.0

@@ -1,6 +1,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -312,3 +313,37 @@ def test_learning_queries_run_the_whole_job(spark, data, monkeypatch):
     queries.lr_holdout_predictions(spark, data)
     queries.cv_accuracy(spark, data)
     assert set(asked) == {100} and all(k == min(5, least) for k, least in folds)
+
+
+def _labelled(spark, n, own):
+    """n documents of three classes: a word of the class, shared words and `own` words that stand nowhere else."""
+    rows = [(f"d{i}", "abc"[i % 3], " ".join([f"tell{i % 3}"] * (i % 5 > 0) + [f"word{i * k % 17}" for k in range(1, 6)] + [f"own{i}x{k}" for k in range(own)])) for i in range(n)]
+    return spark.createDataFrame(rows, "doc string, label string, text string")
+
+
+def test_fit_is_the_optimum_and_keeps_no_vocabulary_on_the_driver(spark, monkeypatch):
+    import pyspark.ml.classification as ml
+
+    docs = _labelled(spark, 60, 3)
+    counts = features.term_counts(docs)
+    weighted = features.weights(counts, features.inverse_frequency(counts, docs)).join(docs.select("doc", "label"), "doc").collect()
+    place = {t: k for k, t in enumerate(sorted({r["term"] for r in weighted}))}
+    ids = {r["doc"]: k for k, r in enumerate(docs.orderBy("doc").collect())}
+    x, y = np.zeros((60, len(place))), np.zeros((60, 3))
+    for r in weighted:
+        x[ids[r["doc"]], place[r["term"]]] = r["weight"]
+        y[ids[r["doc"]], "abc".index(r["label"])] = 1
+    monkeypatch.setattr(ml, "LogisticRegression", None)  # holds coefficients and their history for the whole vocabulary on the driver
+    monkeypatch.setattr(classify, "TOL", 1e-12)
+    model = classify.TextClassifier.fit(docs, 500)
+    terms = {r["term"]: r["w"] for r in model.terms.collect()}
+    assert terms.keys() == place.keys()
+    w = np.array([terms[t] for t in place])
+    z = x @ w + np.array(model.intercepts)
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    assert np.abs(x.T @ (p - y) + w).max() < 1e-4 and np.abs((p - y).sum(axis=0)).max() < 1e-4  # summed loss and half of the squared weights
+    got = {r["doc"]: (r["predicted"], r["probability"]) for r in model.predict(docs.select("doc", "text")).collect()}
+    assert all(got[d] == ("abc"[p[k].argmax()], pytest.approx(p[k].max(), abs=1e-9)) for d, k in ids.items())
+    none = model.predict(spark.createDataFrame([("n", "unheard")], "doc string, text string")).first()
+    assert none["probability"] == pytest.approx(1 / 3, abs=0.05)
