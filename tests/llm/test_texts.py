@@ -2,6 +2,8 @@
 
 import json
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,6 +165,57 @@ def test_memory_of_a_batch(finder, text, n):
     assert got == [want] * n
 
 
+@pytest.mark.parametrize("text", ["dot " + "x." * 10_000 + "@ ", "@ " + "ab" * 10_000 + " "])
+def test_runs_of_letters_take_time_in_proportion(finder, text):
+    import time
+
+    began = time.process_time()
+    assert pii._cleared(text) == text and finder.find_all([text]) == [[]]
+    assert time.process_time() - began < 2
+
+
+def _composed(n):
+    rng = random.Random(5)
+    bits = ["@", ".", " ", "at", " At ", " dot ", "(at)", "[at]", "( at ", "[dot]", " [ dot ] ", "dot", "a", "Xyz", "7", "_", "+", "-", "é", "Anna", "J. ", "K.", "\n", "'", "’", "/", ",", "12", "123456", "12 34 56 ", "QQ", "QQ123456", "AB ", "C", "a ", ":", "(", ")", "+49 30 ", "123-45-6789", "555 123 4567", "٣", "Ⅷ", "²"]
+    for _ in range(n):
+        some = rng.sample(bits, rng.randint(3, 14))
+        yield "".join(rng.choice(some) for _ in range(rng.randint(1, 40)))
+
+
+def test_scans_find_what_the_whole_patterns_find():
+    """Signs, dots and digits that the scans start from lose nothing against patterns tried at each character."""
+    email = re.compile(rf"[^\W_](?:[\w.+%-]*[\w+%-])?(?:{pii._HOST.pattern})", re.I)
+    lettered = re.compile(r"(?<=[A-Za-z]{2})(?:\d{6}| \d{6} | \d\d \d\d \d\d )[A-Da-d](?!\w)")
+    initial = re.compile(r"(?<![\w.])[^\W\d_]\.\s?(?=[^\W\d_]{4,})")
+    seen = [0, 0, 0, 0]
+    for t in _composed(20_000):
+        mails = [m.span() for m in email.finditer(t)]
+        assert list(pii._emails(t, t.lower())) == mails, t
+        ids = [(m.start() - 2, m.end()) for m in lettered.finditer(t) if m.start() == 2 or not t[m.start() - 3].isalnum()]
+        spans = list(pii._digit_spans(t))
+        assert [(a, b) for k, a, b, _ in spans if k == "idnum" and t[b - 1].isalpha()] == ids, t
+        phones = [m.start() for m in pii._DIGITS.finditer(t) if m.group().count("(") == m.group().count(")") and 9 <= sum(c.isdigit() for c in m.group()) <= 15]
+        assert [a for k, a, b, _ in spans if k == "phone" and a in phones] == phones, t
+        initials = [m.span() for m in initial.finditer(t)]
+        assert [(m.start() - 1, m.end()) for m in pii._INITIAL.finditer(t)] == initials, t
+        seen = [n + len(x) for n, x in zip(seen, (mails, ids, phones, initials))]
+    assert min(seen) > 50, seen
+
+
+def test_counts_of_words_and_neighbours():
+    given, family, texts = {"anna", "a"}, {"xyz", "k"}, list(_composed(3_000))
+    every, beside = Counter(), {"given": Counter(), "family": Counter()}
+    counts = pii.Counts(given, family, True)
+    for t in texts:
+        d = pii._cleared(t)
+        every.update(pii._WORD.findall(d))
+        for k, w in pii._neighbours(d, given, family):
+            beside[k][w] += 1
+        counts.add(t)
+    assert all(beside.values()) and counts.take() == beside | {"every": every}
+    assert len(counts) == 0 and not any(counts.take().values())
+
+
 RESIDUE = [
     ("404 Not Found", "error_page"), ('{"error": {"code": 503, "message": "Service Unavailable"}}', "error_page"), ("Access denied. Your role may not open /a/b. Case 82daddd0ab43", "error_page"), ("HTTP/1.1 503 Service Unavailable\r\nContent-Length: 0", "error_page"),
     ("<html><head><title>502 Bad Gateway</title></head><body><h1>Bad Gateway</h1><hr></body></html>", "error_page"), ("Wystąpił błąd serwera. Spróbuj ponownie później.", "error_page"),
